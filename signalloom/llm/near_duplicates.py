@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,39 +27,64 @@ HOT = 4096
 SMALL_SIDE = 2_000_000
 
 _word = re.compile(r"[^\W_]+")
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
 
-class Shingler:
-    """Texts to sets of adjacent word pairs, as 64-bit numbers."""
-
-    def __init__(self):
-        self.hashes: dict[str, int] = {}
+class _Hashes(dict):
+    """Word to its 64-bit hash, made when first asked for."""
 
-    def pairs(self, title: str | None, body: str) -> np.ndarray:
-        words = _word.findall(f"{title or ''} {body}".lower())
-        known = self.hashes
-        if len(known) > WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = int.from_bytes(blake2b(w.encode("utf-8", "replace"), digest_size=8).digest())
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        return np.unique(mixed(h[:-1] * np.uint64(0x9FB21C651E98DF25) + mixed(h[1:])))
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest())
+        return h
 
 
-def fingerprint(pairs: np.ndarray) -> int:
-    """One signed number of a whole set; equal sets have equal ones."""
-    return int(mixed(np.array([mixed(pairs ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(pairs))], np.uint64)).view(np.int64)[0])
-
+class Shingler:
+    """Texts to sets of adjacent word pairs, as 64-bit numbers."""
 
-def _sets(batch: pa.RecordBatch, shingler: Shingler, min_words: int):
-    """(row, set of word pairs) of each row that counts."""
-    titles, bodies = batch.column("title").to_pylist(), batch.column("body").to_pylist()
-    for i, body in enumerate(bodies):
-        if body and len(body) >= 2 * min_words - 1 and len(_word.findall(body.lower())) >= min_words:
-            pairs = shingler.pairs(titles[i], body)
-            if len(pairs):
-                yield i, pairs
+    def __init__(self):
+        self.hashes = _Hashes()
+
+    def words(self, text: str) -> list[bytes]:
+        """Maximal runs of letters and digits in lower case."""
+        if text.isascii():
+            return text.encode().translate(_LOWER).split()
+        return [w.encode("utf-8", "replace") for w in _word.findall(text.lower())]
+
+    def sets(self, titles: list[str | None], bodies: list[str | None], min_words: int) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+        """Rows whose body has enough words, the set of word pairs of each and a signed number of each set, equal for equal sets."""
+        if len(self.hashes) > WORDS:
+            self.hashes.clear()
+        rows, sizes, found = [], [], []
+        for i, body in enumerate(bodies):
+            if body and len(own := self.words(body)) >= min_words:
+                words = self.words(titles[i]) + own if titles[i] else own
+                if len(words) > 1:
+                    rows.append(i)
+                    sizes.append(len(words))
+                    found.append(words)
+        if not rows:
+            return [], [], np.empty(0, np.int64)
+        h = np.fromiter(map(self.hashes.__getitem__, chain.from_iterable(found)), np.uint64, sum(sizes))
+        ends = np.cumsum(sizes)
+        inside = np.ones(len(h), bool)
+        inside[ends - 1] = False  # no pair reaches into the next text
+        pairs = mixed(h[:-1] * np.uint64(0x9FB21C651E98DF25) + mixed(h[1:]))[inside[:-1]]
+        ends -= np.arange(1, len(ends) + 1)
+        starts = np.concatenate([[0], ends[:-1]])
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            pairs[a:b].sort()
+        new = np.ones(len(pairs), bool)
+        new[1:] = pairs[1:] != pairs[:-1]
+        new[starts] = True
+        counts = np.add.reduceat(new, starts, dtype=np.int64)
+        pairs = pairs[new]
+        ends = np.cumsum(counts)
+        starts = ends - counts
+        fps = mixed(np.add.reduceat(mixed(pairs ^ np.uint64(0x5851F42D4C957F2D)), starts) + counts.astype(np.uint64)).view(np.int64)
+        return rows, [pairs[a:b] for a, b in zip(starts.tolist(), ends.tolist())], fps
+
+    def of(self, batch: pa.RecordBatch, min_words: int):
+        return self.sets(batch.column("title").to_pylist(), batch.column("body").to_pylist(), min_words)
 
 
 def _bands(narrow: DataFrame, min_words: int) -> DataFrame:
@@ -72,8 +98,9 @@ def _bands(narrow: DataFrame, min_words: int) -> DataFrame:
                 sets, fps = [], []
                 if len(seen) > SEEN:
                     seen.clear()
-                for _, pairs in _sets(batch.slice(start, 1000), shingler, min_words):
-                    if (fp := fingerprint(pairs)) not in seen:
+                _, own, marks = shingler.of(batch.slice(start, 1000), min_words)
+                for pairs, fp in zip(own, marks.tolist()):
+                    if fp not in seen:
                         seen.add(fp)
                         sets.append(pairs)
                         fps.append(fp)
@@ -96,16 +123,14 @@ def _classes(narrow: DataFrame, min_words: int) -> DataFrame:
                 part = batch.slice(start, 1000)
                 if len(seen) > SEEN:
                     seen.clear()
-                rows, fps, sizes, sets, at = [], [], [], [], []
-                for i, pairs in _sets(part, shingler, min_words):
-                    fp = fingerprint(pairs)
+                sets, at = [], []
+                rows, own, fps = shingler.of(part, min_words)
+                for k, fp in enumerate(fps.tolist()):
                     if fp not in seen:
                         seen.add(fp)
-                        at.append(len(rows))
-                        sets.append(pairs)
-                    rows.append(i)
-                    fps.append(fp)
-                    sizes.append(len(pairs))
+                        at.append(k)
+                        sets.append(own[k])
+                sizes = list(map(len, own))
                 registers: list[bytes | None] = [None] * len(rows)
                 for i, r in zip(at, family.of_sets(sets)):
                     registers[i] = r.tobytes()
@@ -210,16 +235,14 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
 
         def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = batch.to_pydict()
-            kept: dict[tuple, np.ndarray] = {}
-
-            def pairs_of(title, body):
-                if (found := kept.get((title, body))) is None:
-                    found = kept[title, body] = shingler.pairs(title, body)
-                return found
-
+            kept = {x: None for x in (*zip(rows["ta"], rows["ba"]), *zip(rows["tb"], rows["bb"]))}
+            texts = list(kept)
+            at, sets, _ = shingler.sets([x[0] for x in texts], [x[1] for x in texts], 1)
+            for i, own in zip(at, sets):
+                kept[texts[i]] = own
             similar = []
             for ta, ba, tb, bb in zip(rows["ta"], rows["ba"], rows["tb"], rows["bb"]):
-                x, y = pairs_of(ta, ba), pairs_of(tb, bb)
+                x, y = kept[ta, ba], kept[tb, bb]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 similar.append(both / (len(x) + len(y) - both))
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar, pa.float64())], ["a", "b", "similarity"])
@@ -293,8 +316,9 @@ def _with_class(texts: DataFrame, min_words: int) -> DataFrame:
             if len(seen) > SEEN:
                 seen.clear()
             rows, fps = [], []
-            for i, pairs in _sets(batch, shingler, min_words):
-                if (fp := fingerprint(pairs)) not in seen:
+            at, _, marks = shingler.of(batch, min_words)
+            for i, fp in zip(at, marks.tolist()):
+                if fp not in seen:
                     seen.add(fp)
                     rows.append(i)
                     fps.append(fp)
