@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .base import cut, per_batch, written
 from .setsketch import Family, band_keys, joint_similarity, mixed
 
-#: Two texts of similarity s share a band with probability 1 - (1 - s^WIDTH)^BANDS: 0.84 at 0.6, 0.98 at 0.675, 0.999 at 0.72.
-BANDS, WIDTH = 64, 7
+#: Two texts of similarity s share a band with probability 1 - (1 - s^WIDTH)^BANDS: 0.90 at 0.6, 0.97 at 0.635, 0.995 at 0.675, 0.9999 at 0.72.
+BANDS, WIDTH = 80, 7
 #: Registers of the joint estimate, coarser, and how many standard deviations it may lie under the threshold.
 JOINT, JOINT_BASE, JOINT_Q, MARGIN = 64, 1.1, 254, 3.5
 #: Classes of equal texts that a task remembers so as to send each once, and words whose hash it keeps.
