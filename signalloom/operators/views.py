@@ -1,0 +1,65 @@
+"""Relational views: windows of rows, latest per key, ranked lists, groups and counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.columns import text
+
+INACTIVE = ("discarded", "merged")
+
+
+def active(df: DataFrame) -> DataFrame:
+    """Rows that are neither discarded nor merged; a null status isn't active."""
+    return df.where(~F.col("triage_status").isin(*INACTIVE))
+
+
+def since(df: DataFrame, as_of: str, days: int, column: str = "created_at") -> DataFrame:
+    """Rows stored within so many days before a time."""
+    return df.where(F.col(column) >= F.to_timestamp_ntz(F.lit(as_of)) - F.make_dt_interval(days=F.lit(days)))
+
+
+def row_score(df_score: Column, wtp: Column) -> Column:
+    """The score, or the willingness to pay where there is no finite one."""
+    good = df_score.isNotNull() & ~F.isnan(df_score) & (F.abs(df_score) < F.lit(float("inf")))
+    return F.when(good, df_score).otherwise(F.coalesce(wtp, F.lit(0)).cast("double"))
+
+
+def named(c: str, default: str) -> Column:
+    """A trimmed text, or a default for null and blank."""
+    value = F.trim(text(c))
+    return F.when(value == "", F.lit(default)).otherwise(value)
+
+
+def latest_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """The first row of each key in an order; null keys are left out.  Give an order that leaves no ties."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return df.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def once(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Rows delivered more than once, each key kept once."""
+    return latest_per_key(df, key, order)
+
+
+def top_counts(df: DataFrame, column: str, k: int, count_name: str = "n") -> DataFrame:
+    """The k most frequent values and their counts; ties by value."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(count_name))
+    return counts.orderBy(F.col(count_name).desc(), column).limit(k)
+
+
+def grouped_rows(df: DataFrame, group: str, best: int, order: list[Column], score: str) -> DataFrame:
+    """Groups by their best score, size and name, and the best rows of each: with group_rank, group_size and row_no."""
+    stats = df.groupBy(group).agg(F.max(score).alias("best_score"), F.count("*").alias("group_size"))
+    w = Window.partitionBy(group).orderBy(*order)
+    top = df.withColumn("row_no", F.row_number().over(w)).where(F.col("row_no") <= best)
+    return top.join(stats, group)
+
+
+def merged_posts(df: DataFrame, key: str) -> DataFrame:
+    """One row for each post seen in several feeds: how many, the longest text and the earliest time."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count("*").alias("seen"), F.max(F.length(text("text"))).cast("long").alias("longest"), F.min("fetched_at").alias("first_fetched"),
+        F.min_by("source", F.struct(F.col("fetched_at").isNull(), "fetched_at", "doc_id")).alias("first_source"),
+    )

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from . import stream_queries, table_queries, text_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = table_queries.QUERIES | text_queries.QUERIES | stream_queries.QUERIES
+ORACLE: dict[str, str] = table_queries.ORACLE | text_queries.ORACLE | stream_queries.ORACLE
