@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .base import cut, per_batch, written
 from .setsketch import Family, band_keys, joint_similarity, mixed
 
@@ -306,6 +307,20 @@ class NearDuplicates:
         return within.unionAll(star).unionAll(across).dropDuplicates()
 
 
+    def groups(self) -> DataFrame:
+        """(id, group_id, class_id, links): one row for each text that counts.
+
+        group_id is the smallest class id of the texts that are linked over any number of links, class_id the
+        smallest id of the texts with an equal set, links the number of other classes linked to it."""
+        reps = self.classes.select("fp", F.col("rep").alias("class_id"))
+        ends = reps.withColumnRenamed("fp", "a").withColumnRenamed("class_id", "ra"), reps.withColumnRenamed("fp", "b").withColumnRenamed("class_id", "rb")
+        edges = cut(self.links.select("a", "b").join(ends[0], "a").join(ends[1], "b").select("ra", "rb"))
+        found = components(edges, "ra", "rb").select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+        degree = edges.select(F.col("ra").alias("class_id")).unionAll(edges.select("rb")).groupBy("class_id").agg(F.count("*").alias("links"))
+        rows = self.members.select("id", "fp").join(reps, "fp").join(found, "class_id", "left").join(degree, "class_id", "left")
+        return rows.select("id", F.coalesce("group_id", "class_id").alias("group_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def _with_class(texts: DataFrame, min_words: int) -> DataFrame:
     """(fp, title, body), once for each class and task."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import canonical, encoding, leakage, near_duplicates, privacy, splitting, top_items, truncation
-from .base import table
+from .base import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,31 +26,37 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.deviating_values(table(spark, sf_dir, "pain_points", "id", "body", "evidence_spans_json"))
+    return canonical.deviating_values(spread(table(spark, sf_dir, "pain_points", "id", "body", "evidence_spans_json")))
 
 
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.canonical_rows(table(spark, sf_dir, "pain_points", "id", "body", "evidence_spans_json"))
+    return canonical.canonical_rows(spread(table(spark, sf_dir, "pain_points", "id", "body", "evidence_spans_json")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.find_personal(table(spark, sf_dir, "pain_points", "id", *privacy.FIELDS))
+    return privacy.find_personal(spread(table(spark, sf_dir, "pain_points", "id", *privacy.FIELDS)))
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.redact(table(spark, sf_dir, "pain_points", "id", *privacy.FIELDS))
+    return privacy.redact(spread(table(spark, sf_dir, "pain_points", "id", *privacy.FIELDS)))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.NearDuplicates(table(spark, sf_dir, "pain_points", "id", "title", "body")).pairs()
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each record that counts: its group of records that tell the same text, its class of equal ones
+    within it, and the number of other classes it is linked to."""
+    return near_duplicates.NearDuplicates(table(spark, sf_dir, "pain_points", "id", "title", "body")).groups()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return encoding.encode_corpus(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_posts", "post_id", "body"))
+    return leakage.find_leaks(spread(table(spark, sf_dir, "documents", "doc_id", "text")), table(spark, sf_dir, "eval_posts", "post_id", "body"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,15 +69,15 @@ def p7_leaked_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = splitting.split_corpus(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
+    pieces = splitting.split_corpus(spread(table(spark, sf_dir, "documents", "doc_id", "text")), with_text=False)
     return pieces.where("piece_no = 1").select("doc_id")
 
 
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.split_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return splitting.split_corpus(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_canonical, p4_found, p4_redacted, p5_found, p6_ids, p7_found, p7_leaked_posts, p8_found, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_canonical, p4_found, p4_redacted, p5_found, p5_groups, p6_ids, p7_found, p7_leaked_posts, p8_found, p8_pieces)}
 
 ORACLE: dict[str, str] = {
     "p2_found": """
