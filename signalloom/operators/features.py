@@ -73,17 +73,17 @@ def buyer_authority(t: Column) -> Column:
 def evidence_spans(title: Column, body: Column, most: int = 3, longest: int = 160) -> Column:
     """The first sentences that hold a term of any list, cut; the title where none does."""
     whole = F.array_join(F.filter(F.array(title, body), lambda x: x != ""), "\n")
-    parts = filled(F.split(whole, r"[\n.!?]+"))
     terms = (*L.COMPLAINT, *L.UNSOLVED, *L.WISH, *L.EVIDENCE)
-    spans = F.transform(F.slice(F.filter(parts, lambda x: contains_any(F.lower(x), terms)), 1, most), lambda x: F.substring(x, 1, longest))
+    # each sentence beside its lower case, which is then made once and not for every term
+    parts = F.transform(filled(F.split(whole, r"[\n.!?]+")), lambda x: F.struct(x.alias("x"), F.lower(x).alias("low")))
+    spans = F.transform(F.slice(F.filter(parts, lambda x: contains_any(x["low"], terms)), 1, most), lambda x: F.substring(x["x"], 1, longest))
     return F.when(F.trim(whole) == "", F.array().cast("array<string>")).when(F.size(spans) > 0, spans).otherwise(F.array(F.substring(title, 1, longest)))
 
 
-def prescreen_score(t: Column, comments: Column) -> Column:
+def prescreen_score(t: Column, comments: Column, handness: Column) -> Column:
     """0 to 7: the keyword score, and 1 each for business, process and frequency terms, a known tool, a comment
     and a first-hand account; 1 less for consumer noise."""
-    kind = post_type(t, keyword_category(t))
-    points = [contains_any(t, L.BUSINESS), contains_any(t, L.PROCESS), contains_any(t, L.HIGH_FREQUENCY), contains_any(t, L.COMPETITORS), F.size(comments) > 0, first_handness(t, kind) == "first_hand"]
+    points = [contains_any(t, L.BUSINESS), contains_any(t, L.PROCESS), contains_any(t, L.HIGH_FREQUENCY), contains_any(t, L.COMPETITORS), F.size(comments) > 0, handness == "first_hand"]
     score = reduce(lambda a, b: a + b.cast("int"), points, keyword_score(t))
     return F.greatest(F.lit(0), F.least(F.lit(7), score - consumer_noise(t).cast("int")))
 

@@ -27,7 +27,7 @@ def similar_pairs(df: DataFrame, id_col: str, vector_col: str, threshold: float,
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = cells.withColumns({"i": F.least("k", "other"), "j": F.greatest("k", "other")}).drop("other")
 
-    def products(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = key
         left, right = pdf[pdf.k == i], pdf[pdf.k == j]
         empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})

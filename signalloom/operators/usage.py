@@ -29,7 +29,7 @@ def crossings(usage: DataFrame, cap: float) -> DataFrame:
     hours = rows.groupBy("day", "hour").agg(F.sum("c").alias("h"))
     w = Window.partitionBy("day").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     limit = F.lit(cap).cast("decimal(18,8)")
-    first = hours.withColumn("to", F.sum("h").over(w)).withColumn("before", F.col("to") - F.col("h")).where((F.col("to") >= limit) & (F.col("before") < limit)).select("day", "hour", "before")
+    first = hours.withColumn("to", F.sum("h").over(w)).withColumn("before", F.col("to") - F.col("h")).where((F.col("to") >= limit) & (F.col("before") < limit)).select("day", "hour", F.col("before").cast("decimal(27,8)").alias("before"))
     inside = rows.join(first, ["day", "hour"])
     run = Window.partitionBy("day", "hour").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
     spent = inside.withColumn("spent", F.col("before") + F.sum("c").over(run)).where((F.col("spent") >= limit) & (F.col("spent") - F.col("c") < limit))

@@ -229,8 +229,9 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = table(spark, sf_dir, "eval_posts", "post_id", "title", "body", "top_comments", "source_created_ts")
     t = features.post_text()
     rows = posts.withColumn("t", t).withColumn("category", features.keyword_category(F.col("t"))).withColumn("kind", features.post_type(F.col("t"), F.col("category")))
-    score = features.prescreen_score(F.col("t"), C.filled(F.col("top_comments")))
-    rows = rows.select("post_id", score.alias("score"), F.col("kind").alias("predicted_type"), features.first_handness(F.col("t"), F.col("kind")).alias("predicted_handness"), features.buyer_authority(F.col("t")).alias("predicted_authority"))
+    rows = rows.withColumn("handness", features.first_handness(F.col("t"), F.col("kind")))
+    score = features.prescreen_score(F.col("t"), C.filled(F.col("top_comments")), F.col("handness"))
+    rows = rows.select("post_id", score.alias("score"), F.col("kind").alias("predicted_type"), F.col("handness").alias("predicted_handness"), features.buyer_authority(F.col("t")).alias("predicted_authority"))
     labels = table(spark, sf_dir, "eval_labels", "post_id", "is_pain", "is_monetizable", "post_type", "first_handness", "buyer_authority", "feedback_useful")
     return labels.join(rows.withColumn("predicted_pain", F.col("score") >= 2), "post_id", "left")
 
@@ -292,7 +293,7 @@ def _any(t: str, terms) -> str:
 ORACLE = {
     "rank_signal_feed": f"SELECT id, post_id, opportunity_score FROM pain_points WHERE {_ACTIVE} ORDER BY opportunity_score DESC NULLS LAST, willingness_to_pay DESC NULLS LAST, pain_level DESC NULLS LAST, source_created_ts DESC NULLS LAST, id LIMIT 50",
     "recent_active": f"SELECT id, subreddit FROM pain_points WHERE {_ACTIVE} AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY",
-    "export_order": f"""SELECT id, favourite, CASE WHEN regexp_matches(ltrim(n), '^[=+\\-@]') THEN concat('''', n) ELSE n END AS niche FROM (SELECT *, CAST(triage_status = 'favorite' AS INTEGER) AS favourite, coalesce(niche_category, '') AS n FROM pain_points WHERE {_ACTIVE}
+    "export_order": f"""SELECT id, favourite, CASE WHEN regexp_matches(ltrim(n, ' '), '^[=+\\-@]') THEN concat('''', n) ELSE n END AS niche FROM (SELECT *, CAST(triage_status = 'favorite' AS INTEGER) AS favourite, coalesce(niche_category, '') AS n FROM pain_points WHERE {_ACTIVE}
         ORDER BY favourite DESC, opportunity_score DESC NULLS LAST, willingness_to_pay DESC NULLS LAST, pain_level DESC NULLS LAST, id LIMIT 200)""",
     "top_tags": f"""SELECT competitor_tag, count(*) AS mentions FROM (SELECT DISTINCT post_id, competitor_tag FROM pain_point_competitors) JOIN (SELECT post_id FROM pain_points WHERE {_ACTIVE} AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY) USING (post_id)
         WHERE competitor_tag IS NOT NULL GROUP BY competitor_tag ORDER BY mentions DESC, competitor_tag LIMIT 20""",

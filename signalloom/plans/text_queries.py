@@ -9,7 +9,7 @@ from .. import lexicons as L
 from ..functions import columns as C
 from ..functions.udfs import bag_vector_udf
 from ..operators import evidence, features, scoring
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 #: The time that ages are reckoned from, in epoch seconds.
 AS_OF = 1_776_729_600
@@ -40,7 +40,7 @@ _BASE = f"""base AS (SELECT *, {_HANDNESS} AS handness FROM (SELECT *, {_TYPE} A
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pain_points", "id", "post_id", "title", "body", "comment_sample_json")
+    rows = spread(table(spark, sf_dir, "pain_points", "id", "post_id", "title", "body", "comment_sample_json"))
     rows = rows.select("id", "post_id", features.post_text().alias("t"), C.filled(C.json_list("comment_sample_json")).alias("comments"))
     rows = rows.withColumn("category", features.keyword_category(F.col("t")))
     rows = rows.withColumn("kind", features.post_type(F.col("t"), F.col("category")))
@@ -58,42 +58,43 @@ def post_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prescreen_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts of a score of 2 or more, and how many there are at each score: ranks without a global sort."""
-    scored = _posts(spark, sf_dir).select("id", features.prescreen_score(F.col("t"), F.col("comments")).alias("score"))
+    scored = _posts(spark, sf_dir).select("id", features.prescreen_score(F.col("t"), F.col("comments"), F.col("handness")).alias("score"))
     return scored.withColumn("kept", F.col("score") >= 2)
 
 
 def prescreen_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 100 posts of the highest score, earlier ids first."""
-    return prescreen_rank(spark, sf_dir).where("kept").orderBy(F.col("score").desc(), "id").limit(100).select("id", "score")
+    # filtered after the limit, which takes the best first anyway: before it, every score would be made twice
+    return prescreen_rank(spark, sf_dir).orderBy(F.col("score").desc(), "id").limit(100).where("kept").select("id", "score")
 
 
 def comment_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pain_points", "id", "comment_sample_json")
+    rows = spread(table(spark, sf_dir, "pain_points", "id", "comment_sample_json"))
     out = features.comment_signals(rows, C.json_list("comment_sample_json"), F.array().cast("array<string>"))
     return out.select("id", "consensus_n", "same_here_n", "workaround_n", F.array_join("tool_mentions", ",").alias("tools"), "shill_risk", F.size("comment_sample").alias("sample_n"))
 
 
 def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pain_points", "id", "title", "body")
+    rows = spread(table(spark, sf_dir, "pain_points", "id", "title", "body"))
     return rows.select("id", F.array_join(features.evidence_spans(C.text("title"), C.text("body")), "|").alias("spans"))
 
 
 def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pain_points", "id", "title", "body", "comment_sample_json", "post_type", "pain_level", "willingness_to_pay", "comment_workaround_count")
+    rows = spread(table(spark, sf_dir, "pain_points", "id", "title", "body", "comment_sample_json", "post_type", "pain_level", "willingness_to_pay", "comment_workaround_count"))
     rows = rows.withColumn("t", features.thread_text(C.filled(C.json_list("comment_sample_json"))))
     t, zero = F.col("t"), F.lit(0)
     return rows.select("id", F.round(features.workflow_frequency(t, C.text("post_type")), 3).alias("frequency"), F.round(features.impact(t, F.coalesce("pain_level", zero), F.coalesce("willingness_to_pay", zero)), 3).alias("impact"), F.round(features.solved_penalty(t, F.coalesce("comment_workaround_count", zero)), 3).alias("solved"))
 
 
 def evidence_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pain_points", "post_id", "title", "body", "evidence_spans_json", "comment_sample_json")
+    rows = spread(table(spark, sf_dir, "pain_points", "post_id", "title", "body", "evidence_spans_json", "comment_sample_json"))
     rows = rows.withColumns({"q": C.json_list("evidence_spans_json"), "c": C.json_list("comment_sample_json")})
     found = evidence.verify_quotes(rows, "q", "c", fuzzy=False)
     return found.select("post_id", F.col("position").cast("long").alias("position"), "match_type", "source")
 
 
 def evidence_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pain_points", "post_id", "title", "body", "evidence_spans_json", "comment_sample_json")
+    rows = spread(table(spark, sf_dir, "pain_points", "post_id", "title", "body", "evidence_spans_json", "comment_sample_json"))
     rows = rows.withColumns({"q": C.json_list("evidence_spans_json"), "c": C.json_list("comment_sample_json")})
     return evidence.verify_quotes(rows, "q", "c")
 
@@ -144,7 +145,7 @@ def valid_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bag_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed word vectors of titles and summaries."""
-    rows = table(spark, sf_dir, "pain_points", "id", "title", "summary")
+    rows = spread(table(spark, sf_dir, "pain_points", "id", "title", "summary"))
     return rows.select("id", bag_vector_udf(F.concat_ws(" | ", "title", "summary")).alias("vector"))
 
 
@@ -203,8 +204,8 @@ ORACLE = {
         + least({_D(1)}, {_D(0.18)} + {_D(0.16)} * nt + {_D(0.05)} * nm + {_D(0.11)} * coalesce(comment_workaround_count, 0) + CASE WHEN k IN ('vendor_rant', 'tool_comparison') THEN {_D(0.14)} ELSE {_D(0)} END) * 8
         + ({_RECENCY}) * 10 + ev * 6 + ({_STALE}) * -10 + coalesce(solved_penalty, 0) * -12 + coalesce(comment_shill_risk, 0) * -6
         + CASE WHEN k IN ('founder_pitch', 'news_analysis') AND coalesce(first_handness, '') <> 'first_hand' THEN {_D(0.22)} WHEN k = 'advice_thread' THEN {_D(0.08)} ELSE {_D(0)} END * -10), 2) AS score FROM p""",
-    "display_fields": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), e AS (SELECT doc_id, t, CASE WHEN length(t) > 80 THEN concat(rtrim(substring(t, 1, 77)), '...') ELSE t END AS c FROM d)
-        SELECT doc_id, CASE WHEN regexp_matches(ltrim(c), '^[=+\\-@]') THEN concat('''', c) ELSE c END AS cell, greatest(1, CAST(floor((length(t) + 3) / 4.0) AS BIGINT)) AS token_estimate, sha256(t) AS content_hash FROM e""",
+    "display_fields": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), e AS (SELECT doc_id, t, CASE WHEN length(t) > 80 THEN concat(rtrim(substring(t, 1, 77), ' '), '...') ELSE t END AS c FROM d)
+        SELECT doc_id, CASE WHEN regexp_matches(ltrim(c, ' '), '^[=+\\-@]') THEN concat('''', c) ELSE c END AS cell, greatest(1, CAST(floor((length(t) + 3) / 4.0) AS BIGINT)) AS token_estimate, sha256(t) AS content_hash FROM e""",
     "plain_text": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS plain_hash FROM documents""",
     "tag_lists": f"""WITH t AS (SELECT id, list_filter(list_transform({_LIST.format('competitor_tags')}, lambda x: substring(lower({_TRIM.format('x')}), 1, 64)), lambda x: x <> '') AS a FROM pain_points)
         SELECT id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ',') AS tags FROM t""",
