@@ -53,7 +53,7 @@ def written(df: DataFrame, name: str, *, partition_by: str | None = None) -> Dat
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     writer = df.write
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(at)
-    return spark.read.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]], schema: str) -> DataFrame:

@@ -114,7 +114,7 @@ def canonical_json(value: str | None) -> str | None:
     return json.dumps([canonical(q) if isinstance(q, str) else q for q in found], ensure_ascii=False)
 
 
-def _per_distinct(column: pa.Array, f, kept: dict) -> pa.Array:
+def _per_distinct(column: pa.Array, f, kept: dict, kind: pa.DataType) -> pa.Array:
     """f of every distinct value of the column, spread over its rows again."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -126,7 +126,7 @@ def _per_distinct(column: pa.Array, f, kept: dict) -> pa.Array:
         if value not in kept:
             kept[value] = f(value)
         out.append(kept[value])
-    return pa.array(out, pa.bool_() if out and isinstance(out[0], bool) else pa.string()).take(coded.indices)
+    return pa.array(out, kind).take(coded.indices)
 
 
 def _narrow(df: DataFrame, id_col: str, text_col: str, json_col: str) -> DataFrame:
@@ -143,7 +143,7 @@ def canonical_rows(df: DataFrame, id_col: str = "id", text_col: str = "body", js
         texts, lists = {}, {}
 
         def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column("id"), _per_distinct(batch.column("t"), canonical, texts).cast(pa.string()), _per_distinct(batch.column("j"), canonical_json, lists).cast(pa.string())], ["id", text_col, json_col])
+            return pa.RecordBatch.from_arrays([batch.column("id"), _per_distinct(batch.column("t"), canonical, texts, pa.string()), _per_distinct(batch.column("j"), canonical_json, lists, pa.string())], ["id", text_col, json_col])
 
         return handle
 
@@ -163,7 +163,7 @@ def deviating_values(df: DataFrame, id_col: str = "id", text_col: str = "body",
             ids, names = [], []
             for column, name, f, kept in (("t", text_col, deviates, texts), ("j", json_col, deviates_json, lists)):
                 if batch.num_rows:
-                    own = batch.column("id").filter(_per_distinct(batch.column(column), f, kept))
+                    own = batch.column("id").filter(_per_distinct(batch.column(column), f, kept, pa.bool_()))
                     ids.append(own)
                     names += [name] * len(own)
             return pa.RecordBatch.from_arrays([pa.concat_arrays(ids) if ids else pa.array([], pa.int64()), pa.array(names, pa.string())], ["id", "field_name"])
