@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 from ..functions import columns as C
 from ..functions.udfs import bag_vector_udf
-from ..operators import evidence, features, scoring
+from ..operators import enrich, evidence, features, scoring
 from ..sources.tables import spread, table
 
 #: The time that ages are reckoned from, in epoch seconds.
@@ -149,6 +149,12 @@ def bag_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", bag_vector_udf(F.concat_ws(" | ", "title", "summary")).alias("vector"))
 
 
+def keyword_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts as the keyword classifier sees them."""
+    rows = spread(table(spark, sf_dir, "pain_points", "id", "post_id", "title", "body"))
+    return enrich.classified(rows).select("id", "category", "severity", "is_monetizable", F.col("pain_level"), "willingness_to_pay", "analysis_mode")
+
+
 def text_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source: how many, with text, and their lengths; ranked by number."""
     rows = table(spark, sf_dir, "documents", "source", "text").groupBy("source").agg(F.count("*").alias("n"), F.count("text").alias("with_text"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars"))
@@ -167,7 +173,7 @@ def _scores(column: str, values: dict[str, float]) -> str:
     return f"CASE lower(trim({column})) " + " ".join(f"WHEN '{k}' THEN {_D(v)}" for k, v in values.items()) + f" ELSE {_D(values['unknown'])} END"
 
 
-QUERIES = {f.__name__: f for f in (keyword_scores, post_kinds, prescreen_rank, prescreen_shortlist, comment_signals, evidence_spans, text_scores, evidence_exact, evidence_verified, opportunity_buckets, opportunity_scores, display_fields, plain_text, tag_lists, valid_urls, bag_vectors, text_by_source)}
+QUERIES = {f.__name__: f for f in (keyword_scores, post_kinds, prescreen_rank, prescreen_shortlist, comment_signals, evidence_spans, text_scores, evidence_exact, evidence_verified, opportunity_buckets, opportunity_scores, display_fields, plain_text, tag_lists, valid_urls, bag_vectors, keyword_classes, text_by_source)}
 
 _PRESCREEN = f"""greatest(0, least(7, {_KEYWORD} + CAST({_any('t', L.BUSINESS)} AS INTEGER) + CAST({_any('t', L.PROCESS)} AS INTEGER) + CAST({_any('t', L.HIGH_FREQUENCY)} AS INTEGER)
     + CAST({_any('t', L.COMPETITORS)} AS INTEGER) + CAST(len(comments) > 0 AS INTEGER) + CAST(handness = 'first_hand' AS INTEGER) - CAST({_any('t', L.CONSUMER)} AND NOT {_any('t', L.BUSINESS)} AS INTEGER)))"""
@@ -207,6 +213,9 @@ ORACLE = {
     "display_fields": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), e AS (SELECT doc_id, t, CASE WHEN length(t) > 80 THEN concat(rtrim(substring(t, 1, 77), ' '), '...') ELSE t END AS c FROM d)
         SELECT doc_id, CASE WHEN regexp_matches(ltrim(c, ' '), '^[=+\\-@]') THEN concat('''', c) ELSE c END AS cell, greatest(1, CAST(floor((length(t) + 3) / 4.0) AS BIGINT)) AS token_estimate, sha256(t) AS content_hash FROM e""",
     "plain_text": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS plain_hash FROM documents""",
+    "keyword_classes": f"""WITH {_BASE.replace(_COMMENTS, "[]")}, h AS (SELECT id, category, greatest({_KEYWORD}, least(3, {_PRESCREEN})) AS h, {_any('t', L.CONSUMER)} AND NOT {_any('t', L.BUSINESS)} AS noise FROM base)
+        SELECT id, category, CASE WHEN h >= 2 THEN 'medium' ELSE 'low' END AS severity, h >= 2 AND NOT noise AS is_monetizable, CASE WHEN noise THEN 0 ELSE least(10, 4 + 2 * h) END AS pain_level,
+        CASE WHEN h >= 2 AND NOT noise THEN least(10, 3 + 2 * h) ELSE least(3, CASE WHEN noise THEN 0 ELSE least(10, 3 + 2 * h) END) END AS willingness_to_pay, 'keyword' AS analysis_mode FROM h""",
     "tag_lists": f"""WITH t AS (SELECT id, list_filter(list_transform({_LIST.format('competitor_tags')}, lambda x: substring(lower({_TRIM.format('x')}), 1, 64)), lambda x: x <> '') AS a FROM pain_points)
         SELECT id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ',') AS tags FROM t""",
     "text_by_source": "SELECT source, n, with_text, CAST(chars AS BIGINT) AS chars, row_number() OVER (ORDER BY n DESC, source) AS place FROM (SELECT source, count(*) AS n, count(text) AS with_text, coalesce(sum(length(text)), 0) AS chars FROM documents GROUP BY source)",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions import columns as C
 from signalloom.functions.udfs import bag_vector, match_form
-from signalloom.operators import evidence, features, graph, similarity, store, trends, usage, views
+from signalloom.operators import enrich, evidence, features, graph, similarity, store, trends, usage, views
 
 
 def brute_components(edges):
@@ -132,3 +132,18 @@ def test_views_on_empty_tables(spark):
     empty = spark.createDataFrame([], "g string, v string, triage_status string")
     assert views.top_counts(views.active(empty), "v", 3).count() == 0
     assert trends.top_of_group(empty, "g", "v", 3, "vs").count() == 0
+
+
+def test_enrichers(spark):
+    posts = spark.createDataFrame([("a", "Jira is broken", "we hate it daily"), ("b", "Best xbox", None), ("c", None, None)], "post_id string, title string, body string")
+    good = '{"category": "wish", "severity": "high", "summary": "s", "is_monetizable": false, "pain_level": 4, "willingness_to_pay": 9, "competitor_tags": [" Jira ", "jira"]}'
+    answers = spark.createDataFrame([("a", f"```json\n{good}\n```"), ("a", "{"), ("b", good.replace("wish", "odd")), ("c", good.replace("9", "99"))], "post_id string, payload string")
+    got = {r.post_id: r for r in enrich.classified(posts, answers).collect()}
+    assert (got["a"].analysis_mode, got["a"].category, got["a"].willingness_to_pay, got["a"].competitor_tags) == ("saved", "wish", 3, ["jira"])
+    assert got["b"].analysis_mode == got["c"].analysis_mode == "keyword" and got["b"].pain_level == 0 and got["c"].category == "wish"
+    plain = {r.post_id: r.analysis_mode for r in enrich.classified(posts).collect()}
+    assert set(plain.values()) == {"keyword"}
+    dives = spark.createDataFrame([("a", "deep")], "post_id string, deep_dive_summary string")
+    clusters = spark.createDataFrame([("a", "old", 1), ("a", "new", 2)], "post_id string, label string, created_at int")
+    ctx = {r.post_id: r.context for r in enrich.with_context(posts.withColumn("summary", F.lit("sum")), dives, clusters).collect()}
+    assert ctx["a"] == "Title: Jira is broken\nSummary: sum\nDeep dive: deep\nTrend: new" and ctx["c"] == "Summary: sum"
