@@ -13,14 +13,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, per_batch, written
+from .base import cut, per_batch, slices, written
 
 #: Lengths on either side whose hazards are the expectation, false-discovery rate, and the fewest texts of a length.
 NEIGHBOURS, RATE, LEAST = 25, 0.001, 5
 #: The most significant lengths sent to all tasks; more are joined by a shuffle.
 SMALL_SIDE = 200_000
-#: Bound of the labelled sample that the model of text ends is fitted on: texts of each field, chosen by a hash of their id.
-FIT_ROWS = 6_000
+#: Bytes of text counted at once, contexts and distinct words a task holds before it passes their counts on, and bits that say which are asked for.
+BATCH_BYTES, HELD, KEPT_WORDS, MOST_BITS = 4 << 20, 4_000_000, 300_000, 29
 #: Words of context, occurrences from which a context counts, and the share of ends under which it is unfinished.
 ORDER, SUPPORT, UNFINISHED = 7, 3, 0.04
 #: Share of unfinished ends that confirms a significant length as a limit.
@@ -33,7 +33,6 @@ REACH = 400
 
 _token = regex.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _stop = re.compile(r"[.!?。！？…]['\"”’»)\]]*\s")
-_number = re.compile(r"^\d+$")
 _finished = r"[.!?。！？…]['\"”’»)\]]*\s*$"
 #: A mark that the rest was left out.
 _marker = re.compile(r"(?:…|\.\.\.)\s*(?:read more|show (?:full )?\w*|more|continue reading|see more|view \w+)\s*$|[\[(](?:…|\.\.\.)[\])]\s*$|\bshow full review\s*$|\((?:more|cont(?:inued|\.)?)\)\s*$|\ufffd\s*$", re.I)
@@ -90,11 +89,11 @@ def sentences(text: str) -> list[tuple[list[str], bool]]:
     """The words of each sentence, lower case, numbers as one word, and whether a mark other than an ellipsis ends it."""
     out, words, at = [], ["<s>"], 0
     for m in _token.finditer(text):
-        between = text[at : m.start()]
-        if len(words) > 1 and ((mark := _stop.search(between)) or "\n" in between):
+        between, word = text[at : m.start()], m.group()
+        if between != " " and len(words) > 1 and ((mark := _stop.search(between)) or "\n" in between):
             out.append((words, mark is not None and "…" not in between and ".." not in between))
             words = ["<s>"]
-        words.append("#" if _number.match(m.group()) else m.group().lower())
+        words.append("#" if word.isdecimal() else word.lower())
         at = m.end()
     if len(words) > 1:
         rest = text[at:]
@@ -106,67 +105,90 @@ def _hash(word: str) -> int:
     return int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest())
 
 
-class Ends:
-    """How often a text or sentence ends after the last few words, from a sample of texts.
+class Counts:
+    """How often a sentence ends after the last few words, and how often each word occurs, summed over a task's texts.
 
-    Every word of the sample is a labelled case: the context of up to ORDER words before its end, beginning
-    with the sentence where that is nearer, and whether the sentence ends there."""
+    Every word is a labelled case: the context of up to ORDER words that end with it, beginning with the sentence
+    where that is nearer, and whether the sentence ends there.  Only contexts whose bit is set in `asked` are kept,
+    which are those that an open-ended text asks for and, as bits are shared, some others; nothing else is left out."""
 
-    def __init__(self, texts: list[str]):
-        known: dict[str, int] = {}
-        keys, ends = [], []
-        self.words: dict[str, int] = {}
+    def __init__(self, asked: np.ndarray, bits: int):
+        self.asked, self.shift = asked, np.uint64(64 - bits)
+        self.known: dict[str, int] = {}
+        self.hashes: list[int] = []
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.ends: list[np.ndarray] = []
+        self.held = 0
+        self.words = np.zeros((2, 0), np.int64)
+
+    def add(self, texts: list[str]) -> None:
+        known, hashes = self.known, self.hashes
+        ids, lengths, wholes = [], [], []
         for text in texts:
             for words, whole in sentences(text):
-                h = np.array([known.setdefault(w, _hash(w)) for w in words], np.uint64)
-                for w in words[1:] if whole else words[1:-1]:
-                    self.words[w] = self.words.get(w, 0) + 1
-                state = np.zeros(len(h), np.uint64)
-                last = np.zeros(len(h), bool)
-                last[-1] = True
-                for n in range(1, min(ORDER, len(h)) + 1):
-                    # the context of n words ending at each place
-                    state = state[1:] if n > 1 else state
-                    state = _extend(h[: len(h) - n + 1], state)
-                    # an end without a mark may be a loss itself; it counts for the sentence as a whole only
-                    known_ends = len(state) if whole or n == len(h) else len(state) - 1
-                    keys.append(state[:known_ends] + np.uint64(n))
-                    ends.append(last[n - 1 :][:known_ends])
-        all_keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        all_ends = np.concatenate(ends) if ends else np.empty(0, bool)
-        unique, inverse, counts = np.unique(all_keys, return_inverse=True, return_counts=True)
-        ended = np.bincount(inverse, weights=all_ends, minlength=len(unique))
-        keep = counts >= SUPPORT
-        self.keys, self.counts, self.ended = unique[keep], counts[keep], ended[keep].astype(np.int64)
-        self.prefixes: dict[str, int] = {}
-        for w, n in self.words.items():
-            for k in range(1, len(w)):
-                self.prefixes[w[:k]] = self.prefixes.get(w[:k], 0) + n
-
-    def of(self, words: list[str]) -> tuple[int, int, int]:
-        """(words of context, times seen, times ended) of the longest context of the last words that was seen enough."""
-        h = np.array([_hash(w) for w in words], np.uint64)
-        best, state = (0, 0, 0), np.zeros(1, np.uint64)
-        for n in range(1, min(ORDER, len(h)) + 1):
-            state = _extend(h[-n : len(h) - n + 1], state)
-            key = state[0] + np.uint64(n)
-            at = int(np.searchsorted(self.keys, key))
-            if at == len(self.keys) or self.keys[at] != key:
-                continue
-            best = n, int(self.counts[at]), int(self.ended[at])
-        return best
-
-    def unfinished(self, text: str) -> bool:
-        """True where the last words go on in the sample, or the last is the beginning of a word."""
-        found = sentences(text[-REACH:])
-        if not found:
-            return False
-        words = found[-1][0]
-        n, seen, ended = self.of(words)
-        if n >= 1:
-            return (ended + 0.02) / (seen + 0.5) < UNFINISHED
-        last = words[-1]
-        return self.prefixes.get(last, 0) > FRAGMENT * self.words.get(last, 0)
+                for w in words:
+                    if (k := known.get(w)) is None:
+                        known[w] = k = len(hashes)
+                        hashes.append(_hash(w))
+                    ids.append(k)
+                lengths.append(len(words))
+                wholes.append(whole)
+        if not ids:
+            return
+        ids, lengths, wholes = np.array(ids), np.array(lengths), np.array(wholes)
+        h = np.array(hashes, np.uint64)[ids]
+        final = np.cumsum(lengths) - 1
+        place = np.arange(len(h)) - np.repeat(final - lengths + 1, lengths)
+        last = np.zeros(len(h), bool)
+        last[final] = True
+        # an end without a mark may be a loss itself; it counts for the sentence as a whole only
+        unmarked = last & ~np.repeat(wholes, lengths)
+        seen = np.stack([np.bincount(ids[x & (place > 0)], minlength=len(hashes)) for x in (~unmarked, unmarked)])
+        seen[:, : self.words.shape[1]] += self.words
+        self.words = seen
+        state = np.zeros(len(h), np.uint64)
+        for n in range(1, ORDER + 1):
+            # the context of n words ending at each place that has as many before it in its sentence
+            at = np.flatnonzero(place >= n - 1)
+            state[at] = _extend(h[at - (n - 1)], state[at])
+            at = at[~unmarked[at] | (place[at] == n - 1)]
+            keys = state[at] + np.uint64(n)
+            bit = keys >> self.shift
+            hit = self.asked[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
+            self.keys.append(keys[hit])
+            self.ends.append(last[at[hit]])
+            self.held += int(hit.sum())
+
+    def taken(self) -> pa.RecordBatch:
+        """(key, word, n, ended) of what was counted since the last time; a word's ends are those without a mark, not in n."""
+        keys = np.concatenate(self.keys) if self.keys else np.empty(0, np.uint64)
+        ends = np.concatenate(self.ends) if self.ends else np.empty(0, bool)
+        unique, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        ended = np.bincount(inverse, weights=ends, minlength=len(unique)).astype(np.int64)
+        there = self.words.any(axis=0)
+        names = [w for w, x in zip(self.known, there) if x]
+        seen, unmarked = self.words[:, there]
+        out = [
+            pa.array(unique.view(np.int64)).cast(pa.int64()), pa.nulls(len(unique), pa.string()), pa.array(counts), pa.array(ended),
+        ], [pa.nulls(len(names), pa.int64()), pa.array([w.encode("utf-8", "replace").decode() for w in names], pa.string()), pa.array(seen), pa.array(unmarked)]
+        self.clear()
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+            self.hashes.clear()
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*out)], ["key", "word", "n", "ended"])
+
+
+def contexts(words: list[str]) -> list[int]:
+    """The contexts of the last one to ORDER words as numbers, as Counts has them."""
+    h = np.array([_hash(w) for w in words], np.uint64)
+    out, state = [], np.zeros(1, np.uint64)
+    for n in range(1, min(ORDER, len(h)) + 1):
+        state = _extend(h[-n : len(h) - n + 1], state)
+        out.append(int((state + np.uint64(n)).view(np.int64)[0]))
+    return out
 
 
 def _extend(words: np.ndarray, state: np.ndarray) -> np.ndarray:
@@ -175,36 +197,36 @@ def _extend(words: np.ndarray, state: np.ndarray) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
-def truncated(text: str, at_limit: bool, ends: Ends) -> bool:
-    """True for a text whose rest was lost; at_limit: its length is a significant one of its source and field."""
+def ending(text: str) -> tuple[str, list[str]]:
+    """How a text ends: `lost` (its rest was), `whole`, or by the words that the model is asked about, `style` (an
+    ellipsis; without words it is one of style) or `open` (a word)."""
     if not text or text.isspace() or _removed.match(text):
-        return False
+        return "whole", []
     bare = text.rstrip()
     if _marker.search(text) or _entity.search(bare):
-        return True
+        return "lost", []
     if bare.count(_fence) % 2 or _open_mark.search(bare):
-        return True
+        return "lost", []
     if _open_link.search(bare):
-        return True
+        return "lost", []
     if _list_item.search(text):
-        return True
+        return "lost", []
     if m := _ellipsis.search(bare):  # of style, unless words are cut off before it
-        return at_limit or bool(_token.search(bare)) and bare[m.start() - 1 : m.start()].isalnum() and ends.unfinished(bare[: m.start()])
+        return "style", _last_words(bare[: m.start()]) if bare[m.start() - 1 : m.start()].isalnum() else []
     if re.search(_finished, bare):
-        return False
+        return "whole", []
     if _open_bracket.search(bare) and not re.search(r"[:;=8][-']?[()]$", bare):
-        return True
+        return "lost", []
     if _dangling.search(bare):
-        return True
-    last = bare[-1]
-    if not last.isalnum():
-        return False  # an emoji, closing mark or the like
-    if at_limit:
-        # whole closing words, such as a greeting, are no loss; anything else that fills the field is
-        words = sentences(bare[-REACH:])[-1][0]
-        n, seen, ended = ends.of(words)
-        return not (n == len(words) and ended >= 0.5 * seen)
-    return ends.unfinished(bare)
+        return "lost", []
+    if not bare[-1].isalnum():
+        return "whole", []  # an emoji, closing mark or the like
+    return ("open", words) if (words := _last_words(bare)) else ("whole", [])
+
+
+def _last_words(text: str) -> list[str]:
+    found = sentences(text[-REACH:])
+    return found[-1][0] if found else []
 
 
 class Truncation:
@@ -213,13 +235,11 @@ class Truncation:
     hazards: the tested lengths.  values(): (id, field_name) of the truncated values.  report(): (source,
     field_name, n_values, n_truncated, share) over all not-null values.
 
-    Lengths are characters.  Hazards come from all values; the model of text ends is fitted on at most
-    `fit_rows` values of each field (a hash of the id chooses them) and sent to all tasks.  Null, empty, blank
-    and removed values are no cases; a null source is a source of its own; repeated rows are each reported; an
+    Lengths are characters.  Hazards and the model of text ends are counted over all values; of the model only the
+    contexts that an open-ended value asks for are kept, and they are joined to it.  Null, empty, blank and removed values are no cases; a null source is a source of its own; repeated rows are each reported; an
     empty table gives empty results; other columns aren't read."""
 
-    def __init__(self, df: DataFrame, *, id_col: str = "id", source_col: str = "source", fields: tuple[str, ...] = ("body", "summary"), fit_rows: int = FIT_ROWS):
-        spark = df.sparkSession
+    def __init__(self, df: DataFrame, *, id_col: str = "id", source_col: str = "source", fields: tuple[str, ...] = ("body", "summary")):
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), *(F.col(c).cast("string").alias(f"t{k}") for k, c in enumerate(fields)))
         stack = f"stack({len(fields)}, {', '.join(f'{k}, t{k}' for k in range(len(fields)))}) as (k, text)"
         self.values_of = rows.select("id", "source", F.expr(stack)).where("text is not null")
@@ -229,29 +249,20 @@ class Truncation:
         self.hazards = written(hazards(lengths), "hazards")
         self.limits = self.hazards.where("significant").select("source", "field_name", "length", F.lit(True).alias("at_limit"))
         self.small = self.limits.count() <= SMALL_SIDE
-        sample = []
-        number = {r.field_name: r.n for r in self.hazards.groupBy("field_name").agg(F.sum("n").alias("n")).collect()}
-        for k, field in enumerate(fields):
-            own = rows.where(F.col(f"t{k}").isNotNull()).select(F.xxhash64("id").alias("h"), F.col(f"t{k}").alias("text"))
-            if (n := number.get(field, 0)) > 8 * fit_rows:  # about four times as many have a hash below this, so that no partition passes on more than its share
-                own = own.where(F.col("h") < int(-(2**63) + 2**64 * (4 * fit_rows / n)))
-            sample += [r.text for r in own.orderBy("h", "text").limit(fit_rows).select("text").toLocalIterator()]
-        self.ends = spark.sparkContext.broadcast(Ends(sample))
 
-    def values(self) -> DataFrame:
-        """A length is taken for a limit if it is significant and most of the values there that don't end like
-        whole ones end unfinished by the model too; stock phrases of one length have whole ends."""
-        ends = self.ends
+    def _open(self) -> DataFrame:
+        """(id, source, field_name, length, at_limit, kind, n_words, keys, last) of the values that may be truncated; keys are the
+        contexts of the last words of those that the model is asked about."""
 
         def make():
-            model = ends.value
-
             def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
-                texts, tested = batch.column("text").to_pylist(), batch.column("at_limit").to_pylist()
-                alone = np.array([truncated(t, False, model) for t in texts], bool)
-                there = np.array([bool(at) and (known or truncated(t, True, model)) for t, at, known in zip(texts, tested, alone)], bool)
-                out = batch.select(["id", "source", "field_name", "length"]).add_column(4, "alone", pa.array(alone)).add_column(5, "there", pa.array(there))
-                return out.filter(pa.array(alone | there))
+                found = [ending(t) for t in batch.column("text").to_pylist()]
+                keys = [contexts(words) if words else None for _, words in found]
+                last = [words[-1].encode("utf-8", "replace").decode() if words else None for _, words in found]
+                out = batch.select(["id", "source", "field_name", "length", "at_limit"]).to_struct_array().flatten()
+                out += [pa.array([k for k, _ in found], pa.string()), pa.array([len(words) for _, words in found], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(last, pa.string())]
+                named = pa.RecordBatch.from_arrays(out, ["id", "source", "field_name", "length", "at_limit", "kind", "n_words", "keys", "last"])
+                return named.filter(pa.array([k != "whole" for k, _ in found], pa.bool_()))
 
             return handle
 
@@ -261,7 +272,62 @@ class Truncation:
         open_ = self.named(self.values_of.where(doubtful)).withColumn("length", F.length("text"))
         key = ["source", "field_name", "length"]
         marked = open_.join(F.broadcast(self.limits) if self.small else self.limits, key, "left").select("id", "text", "at_limit", *key)
-        judged = cut(per_batch(marked, make, "id long, source string, field_name string, length int, alone boolean, there boolean"))
+        return written(per_batch(marked, make, "id long, source string, field_name string, length int, at_limit boolean, kind string, n_words int, keys array<long>, last string"), "open")
+
+    def _counted(self, asks: DataFrame) -> DataFrame:
+        """(key, word, n, ended) over all values: of the contexts in asks, among others, and of every word."""
+        spark = asks.sparkSession
+        keys = asks.select(F.explode("keys").alias("key"))
+        bits = min(MOST_BITS, max(20, (16 * keys.count()).bit_length()))
+        bit = F.shiftrightunsigned("key", 64 - bits) + 1
+        rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("b")).collect()
+        asked = np.zeros(1 << bits - 3, np.uint8)
+        for at, part in rows:
+            asked[(at - 1) * len(part) : at * len(part)] = np.frombuffer(part, np.uint8)
+        sent = spark.sparkContext.broadcast(asked)
+
+        def count(batches):
+            counts = Counts(sent.value, bits)
+            for batch in batches:
+                for part in slices(batch, "text", BATCH_BYTES):
+                    counts.add(part.column("text").to_pylist())
+                    if counts.held > HELD or len(counts.known) > KEPT_WORDS:
+                        yield counts.taken()
+            yield counts.taken()
+
+        parts = self.values_of.select("text").mapInArrow(count, "key long, word string, n long, ended long")
+        return written(parts.groupBy("key", "word").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended")), "counts")
+
+    def values(self) -> DataFrame:
+        """A length is taken for a limit if it is significant and most of the values there that don't end like
+        whole ones end unfinished by the model too; stock phrases of one length have whole ends."""
+        rows = self._open().withColumn("ask", F.element_at("keys", -1))
+        asks = rows.where("ask is not null").select("ask", "keys", "last", "n_words").dropDuplicates(["ask"])
+        counted = self._counted(asks)
+        # of the contexts that other values showed often enough, the longest; a whole sentence's cases hold the value's own end
+        seen = counted.where(F.col("key").isNotNull() & (F.col("n") >= SUPPORT)).select("key", "n", "ended")
+        own = (F.col("at") + 1 == F.col("n_words")).cast("int")
+        best = asks.select("ask", "n_words", F.posexplode("keys").alias("at", "key")).join(seen, "key").select("ask", "at", (F.col("n") - own).alias("n"), (F.col("ended") - own).alias("ended"))
+        best = best.where(F.col("n") >= SUPPORT).groupBy("ask").agg(F.max(F.struct("at", "n", "ended")).alias("best"))
+        # how often the last word begins a longer one, and stands alone, inside a sentence or at an end without a mark
+        wanted = asks.select("last").distinct()
+        words = counted.where("word is not null").select("word", "n", "ended")
+        longer = words.crossJoin(F.broadcast(wanted.agg(F.collect_set(F.length("last")).alias("sizes"))))
+        longer = longer.select("n", F.explode(F.expr("transform(filter(sizes, k -> k < length(word)), k -> substring(word, 1, k))")).alias("last"))
+        begun = longer.join(wanted, "last", "left_semi").groupBy("last").agg(F.sum("n").alias("begun"))
+        begun = begun.join(words.select(F.col("word").alias("last"), F.col("n").alias("inside"), F.col("ended").alias("cut")), "last", "left")
+        begun = begun.select("last", "begun", F.coalesce("inside", F.lit(0)).alias("inside"), F.coalesce("cut", F.lit(0)).alias("cut"))
+        rows = rows.join(best, "ask", "left").join(begun, "last", "left")
+        n, ended = F.col("best.n"), F.col("best.ended")
+        # a part of a word goes on, however many values are cut there; where nothing is known, its own end says nothing for it
+        part = F.coalesce(F.col("begun") > FRAGMENT * (F.col("inside") + F.when(n.isNull(), 0).otherwise(F.col("cut"))), F.lit(False))
+        unfinished = part | F.coalesce((ended + 0.02) / (n + 0.5) < UNFINISHED, F.lit(False))
+        alone = F.when(F.col("kind") == "lost", True).otherwise(F.col("ask").isNotNull() & unfinished)
+        # whole closing words, such as a greeting, are no loss; anything else that fills the field is
+        closing = F.coalesce((F.col("best.at") + 1 == F.col("n_words")) & (ended >= 0.5 * n), F.lit(False))
+        there = F.coalesce("at_limit", F.lit(False)) & (alone | (F.col("kind") != "open") | ~closing)
+        key = ["source", "field_name", "length"]
+        judged = cut(rows.select("id", *key, alone.alias("alone"), there.alias("there")).where("alone or there"))
         confirmed = judged.where("there").groupBy(key).agg(F.avg(F.col("alone").cast("double")).alias("unfinished")).where(F.col("unfinished") >= CONFIRMED).select(*key, F.lit(True).alias("limit"))
         confirmed = F.broadcast(confirmed) if self.small else confirmed
         return judged.join(confirmed, key, "left").where("alone or (there and limit)").select("id", "source", "field_name")

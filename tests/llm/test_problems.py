@@ -63,6 +63,41 @@ def test_truncated_texts(spark):
     assert truncation.Truncation(df.limit(0)).values().count() == 0
 
 
+def test_ends_are_learnt_from_all_values(spark):
+    # four sentences of each kind among 20,000 values; a sample of a third seldom holds three of them
+    kinds = [f"{a}o" for a in NAMES[:12]]
+    texts = [f"All is fine here with {NAMES[i % 24]}." for i in range(20000)] + [f"A {k} grows near {k}rn every night." for k in kinds for _ in range(4)]
+    rows = [(i, "a", t, None) for i, t in enumerate(texts)] + [(90000 + i, "a", f"A {k} grows near {k}rn", None) for i, k in enumerate(kinds)]
+    # a cut that three values share goes on all the same, but words that end texts don't
+    rows += [(91000 + i, "a", t, None) for i, t in enumerate([f"A {NAMES[13]} workar" for _ in range(3)] + [f"My workaround is {NAMES[i % 24]}." for i in range(400)] + ["Thanks to everybody"] * 5)]
+    df = spark.createDataFrame(rows, "id long, source string, body string, summary string")
+    assert {x.id for x in truncation.Truncation(df).values().collect()} == {90000 + i for i in range(12)} | {91000, 91001, 91002}
+
+
+def test_counts_of_ends():
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["we", "lost it.", "all", "3", "fine!\n", "Ok…", "it's"]) for _ in range(r.randrange(1, 30))) for _ in range(300)]
+    want, words = {}, {}
+    for s, whole in (x for t in texts for x in truncation.sentences(t)):
+        for i in range(len(s)):
+            end = i == len(s) - 1
+            if i:
+                w = words.setdefault(s[i], [0, 0])
+                w[end and not whole] += 1
+            for n in range(1, min(truncation.ORDER, i + 1) + 1):
+                if whole or not end or n == len(s):
+                    k = want.setdefault(truncation.contexts(s[i - n + 1 : i + 1])[-1], [0, 0])
+                    k[0] += 1
+                    k[1] += end
+    counts = truncation.Counts(np.full(1 << 17, 255, np.uint8), 20)
+    counts.add(texts[:100])
+    counts.add(texts[100:])
+    got = counts.taken().to_pylist()
+    assert {x["key"]: [x["n"], x["ended"]] for x in got if x["word"] is None} == want
+    assert {x["word"]: [x["n"], x["ended"]] for x in got if x["key"] is None} == words
+    assert counts.taken().num_rows == 0
+
+
 # 2
 
 
