@@ -44,6 +44,11 @@ _ellipsis = re.compile(r"(?:…|\.\.\.)\s*$")
 _dangling = re.compile(r"[,;:–—(\[{<“«&+=/-]\s*$")
 _open_mark = re.compile(r"(?<![\w*])\*\*[^*\s][^*\n]{0,80}$")
 _fence = "```"
+#: For the JVM, which sees the last SEEN_BACK characters: ends like a whole text's, and those of them that the marker,
+#: open marks and links, list items and ellipses above match; they may match more, never less.
+SEEN_BACK = 320
+_whole_end = r"[.!?。！？…]['\"”’»)\]]*\z"
+_lost_end = r"(?iu)[\[(](?:…|\.\.\.)[\])]\z|\(cont\.\)\z|(?:…|\.\.\.)\z|(?:\n|\A)[\s\p{Z}]*\d{1,2}\.\z|(?<![\w*])\*\*[^*\s][^*\n]{0,80}\z|\[[^\]\[\n]{0,200}\z|\]\([^)\n]{0,300}\z|<[a-z/!][^<>\n]{0,200}\z"
 _removed = re.compile(r"^\s*[\[(<]?\s*(?:deleted|removed|no text|none|null|n/a)\s*[\])>]?\s*$", re.I)
 
 
@@ -266,9 +271,9 @@ class Truncation:
 
             return handle
 
-        # only a text that doesn't end like a whole one can be truncated: by a full stop without an open mark before it
-        tail = F.substring("text", -48, 48)
-        doubtful = ~tail.rlike(r"[.!?。！？][\"”’»)]*$") | tail.rlike(r"\.\.\.$|\n\s*\d{1,2}\.$|[\[<&][^\]>;\n]*$|[…\]]$") | F.contains("text", F.lit(_fence))
+        # a text that ends like a whole one can be truncated only by a mark that ends in the same way
+        tail = F.substring("text", -SEEN_BACK, SEEN_BACK)
+        doubtful = ~tail.rlike(_whole_end) | tail.rlike(_lost_end) | F.contains("text", F.lit(_fence))
         open_ = self.named(self.values_of.where(doubtful)).withColumn("length", F.length("text"))
         key = ["source", "field_name", "length"]
         marked = open_.join(F.broadcast(self.limits) if self.small else self.limits, key, "left").select("id", "text", "at_limit", *key)

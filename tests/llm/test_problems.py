@@ -98,6 +98,13 @@ def test_counts_of_ends():
     assert counts.taken().num_rows == 0
 
 
+def test_marks_of_loss_that_end_like_whole_texts(spark):
+    lost = ["We lost it (...)", "We lost it (…)", "We lost it (cont.)", "This is **bold text without an end.", "See [the log](http://example.org/a/very/long/path/with/many/parts/and/so/on/until/it.", "See <a title='very long title that goes on for more than the last forty-eight characters.", "Steps:\n1. Open it.\n2."]
+    whole = ["We lost it (yes.)", "This is **bold** text.", "See [the log](http://example.org/a.b).", "One.\nTwo.", "Version 2."]
+    df = spark.createDataFrame([(i, "a", t, None) for i, t in enumerate(lost + whole)], "id long, source string, body string, summary string")
+    assert {x.id for x in truncation.Truncation(df).values().collect()} == set(range(len(lost)))
+
+
 # 2
 
 
