@@ -105,6 +105,12 @@ def test_marks_of_loss_that_end_like_whole_texts(spark):
     assert {x.id for x in truncation.Truncation(df).values().collect()} == set(range(len(lost)))
 
 
+def test_ends_are_learnt_without_ids(spark):
+    rows = [(None, "a", f"The team must export {NAMES[i % 24]} reports every day.", None) for i in range(48100)] + [(None, "a", "The team must export alpha reports every", None)]
+    df = spark.createDataFrame(rows, "id long, source string, body string, summary string")
+    assert [(x.id, x.field_name) for x in truncation.Truncation(df).values().collect()] == [(None, "body")]
+
+
 # 2
 
 
