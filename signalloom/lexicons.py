@@ -50,4 +50,3 @@ FAILURES = (
 WTP_PATTERN = r"\bwould\s+pay\b|\bpay(?:ing)?\b|\bpaid\b|\bbudget\b|\bspend(?:ing)?\b|\bpricing\b|\brenewal\b|\bsubscription\b|\blicen[cs]e\b|[$€£]"
 STOPWORDS = ("about", "after", "again", "because", "before", "between", "breaks", "daily", "every", "from", "have", "keeps", "manual", "need", "still", "team", "teams", "their", "this", "with", "your")
 FEEDBACK = ("useful", "not_a_pain", "duplicate", "too_generic", "wrong_segment", "bad_evidence")
-CALIBRATION_WEIGHTS = {"intensity": 0.18, "frequency": 0.14, "wtp": 0.14, "buyer_authority": 0.12, "current_workaround": 0.10, "incumbent_failure": 0.10, "urgency": 0.08, "evidence_quality": 0.08, "recency": 0.06}

@@ -1,4 +1,4 @@
-"""What a group of signals has in common: its statistics, tools, key words, failures, buyers and rejections."""
+"""What a group of signals has in common: its statistics, tools, key words, failures and buyers."""
 
 from __future__ import annotations
 
