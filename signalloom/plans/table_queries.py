@@ -203,7 +203,10 @@ def dedup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored signals of even ids, updated by all signals with other severities."""
+    """Stored signals of even ids, updated by all signals with other severities.
+
+    The split is the feature: the tables hold one state of each signal, so rows that are updated and rows that are new
+    are both made from it.  All signals come in, and none is dropped; a stored row without an update is tested on its own."""
     rows = _signals(spark, sf_dir, "id", "post_id", "severity", "author_name", "triage_status", "deep_dive_status", "cross_source_count")
     new = rows.withColumns({"severity": F.lit("high"), "author_name": F.lit(None).cast("string"), "triage_status": F.lit("new"), "deep_dive_status": F.lit("running")})
     return store.upsert(rows.where("id % 2 = 0"), new)
