@@ -22,6 +22,14 @@ LOOKALIKES = dict(zip(
     "ABESIJKMHOPCTYX3aesijopcyxdqwhlkmhtbrnur" "ABEZHIKMNOPTYXoavikpuxtney" "ouoghLUS",
 ))
 
+#: Fixed value: the same of the other alphabets that _other_script has.  Their letters that look like no Latin one stay.
+MORE_LOOKALIKES = dict(zip(
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ" "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏙᏚᏞᏟᏢᏦᏴ" "ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲏⲓⲕⲙⲛⲟⲣⲥⲧⲩⲭ" "ყჿ" "סוןهاⵔⵝⴹ",
+    "BPDTGKJCZFMNLSRVHWXYAEIOU" "DRTAJEWMHGZRVSLCPKB" "HIKMNOPCTYXhikmnopctyx" "yo" "ollolOXE",
+))
+# case folding makes small Cherokee letters capital
+MORE_LOOKALIKES |= {chr(ord(c) - 0x13A0 + 0xAB70): x for c, x in MORE_LOOKALIKES.items() if "Ꭰ" <= c <= "Ꮿ"} | {"ᏼ": "B"}
+
 _fullwidth = re.compile(r"[！-～]")
 _space = regex.compile(r"[\p{Zs}\p{Zl}\p{Zp}\x85--[ ]]", regex.V1)
 _cluster = regex.compile(r"\P{M}\p{M}+")
@@ -70,7 +78,7 @@ def canonical(text: str | None) -> str | None:
         text = _strip(text)
         text = unicodedata.normalize("NFKC", text)
         for a, b in reversed(_mixed_words(text)):
-            text = text[:a] + "".join(LOOKALIKES.get(c, c) for c in text[a:b]) + text[b:]
+            text = text[:a] + "".join(LOOKALIKES.get(c) or MORE_LOOKALIKES.get(c, c) for c in text[a:b]) + text[b:]
         # folding may undo the composed form, and composing the folding
         for _ in range(4):
             folded = _strip(unicodedata.normalize("NFKC", text.casefold()))

@@ -141,6 +141,15 @@ def test_canonical_form():
         assert canonical.canonical(canonical.canonical(s)) == canonical.canonical(s)
 
 
+def test_lookalikes_of_every_script():
+    for odd in ("eхport", "expοrt", "expօrt", "expⲟrt", "Ꭼxport", "ꭼxport", "ꓰxport", "expჿrt", "expסrt", "expهrt", "expⵔrt"):
+        assert canonical.deviates(odd) and canonical.canonical(odd) == "export", odd
+    assert len("".join(canonical.MORE_LOOKALIKES)) == len(canonical.MORE_LOOKALIKES)
+    for c in canonical.MORE_LOOKALIKES:
+        s = canonical.canonical(f"ab{c}d")
+        assert s.isascii() and canonical.canonical(s) == s, c
+
+
 def test_deviations():
     bad = ["ａbc", "Café", "a​b", "soft­hyphen", "no break", "thin space", "pаyment", "a‍ b"]
     good = [None, "", "plain", "Café – “quotes” … 🙏", "👩‍💻 👨‍👩‍👧 ❤️", "Ошибка сервера", "在庫不足", "the Ω release", "½ ² €"]
