@@ -191,6 +191,19 @@ def test_personal_information():
     assert privacy.kinds("Lopez, Maria", "author") == ["person_name"] and privacy.kinds("ledger_fox", "author") == [] and privacy.kinds("M. Lopez (ops)", "author") == ["person_name"]
 
 
+@pytest.mark.parametrize("disguised, kind", [
+    ("five five five, one two three four", "[PHONE]"), ("jo (at) example [dot] com", "[EMAIL]"), ("jo at example dot com", "[EMAIL]"), ("jo&#64;example.org", "[EMAIL]"), ("ｊｏ＠example.org", "[EMAIL]"),
+    ("j\u200bo@exam\u200bple.org", "[EMAIL]"), ("pаt@exаmple.org", "[EMAIL]"), ("415\u00a0555\u00a00199", "[PHONE]"), ("four one five five five five zero one nine nine", "[PHONE]"), ("９12-18-6431", "[ID_NUMBER]"),
+])
+def test_disguises_at_every_place(disguised, kind):
+    other = "x\u200bx, "  # a change of its own before the disguise
+    for before in ("", "mine is ", other):
+        for after in ("", ".", " now", " \u200b end", " or five five five one two three four"):
+            got = privacy.redacted(before + disguised + after)
+            assert got == before + kind + after.replace("five five five one two three four", "[PHONE]"), (before, disguised, after)
+            assert privacy.detect(got) == []
+
+
 def test_offsets_lead_back_to_the_source():
     text = "x​x ｊｏ​（at）example.org y, four one five, five five five, zero one nine nine!"
     spans = [text[a:b] for a, b, _ in privacy.detect(text)]
