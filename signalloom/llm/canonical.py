@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .base import per_batch
 
-#: Distinct values whose result a task keeps.
-KEPT = 50_000
+#: Characters of distinct values, and of their results, that a task keeps.
+KEPT_CHARS = 16 << 20
 
 #: Fixed value: letters of other scripts that look like Latin ones, for words that otherwise are Latin.
 LOOKALIKES = dict(zip(
@@ -51,50 +51,75 @@ def _mixed_words(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _word.finditer(text) if _other_script.search(m.group()) and _latin.search(m.group())]
 
 
-def _hidden(text: str) -> bool:
-    return any(True for m in _ignorable.finditer(text) if not _in_emoji.match(text, m.start()))
+def _strip(text: str) -> str:
+    """Without default-ignorable characters, but for those that belong to an emoji."""
+    if not _ignorable.search(text):
+        return text
+    return _ignorable.sub(lambda m: m.group() if _in_emoji.match(text, m.start()) else "", text)
+
+
+def _spaces(text: str) -> str:
+    return _space.sub(" ", text)
+
+
+def _widths(text: str) -> str:
+    """Full-width ASCII forms as ASCII."""
+    return _fullwidth.sub(lambda m: chr(ord(m.group()) - 0xFEE0), text)
+
+
+def _composed(text: str) -> str:
+    """A base and marks that have a shorter composed form in that form."""
+    if not _text_mark.search(text):
+        return text
+    return _cluster.sub(lambda m: c if len(c := unicodedata.normalize("NFC", m.group())) < len(m.group()) else m.group(), text)
+
+
+def _latin_words(text: str) -> str:
+    """Letters of other alphabets that look like a Latin one replaced by it, in words that hold a Latin letter."""
+    for a, b in reversed(_mixed_words(text)):
+        text = text[:a] + "".join(LOOKALIKES.get(c) or MORE_LOOKALIKES.get(c, c) for c in text[a:b]) + text[b:]
+    return text
+
+
+#: The steps whose changes the eye doesn't see, in order.
+UNSEEN = (_strip, _spaces, _widths, _composed, _latin_words)
+#: No text is known to take more than four rounds.
+ROUNDS = 24
+
+
+def unseen(text: str) -> str:
+    """The text after one round of the unseen steps."""
+    for step in UNSEEN:
+        text = step(text)
+    return text
 
 
 def deviates(text: str | None) -> bool:
-    """True for a text with a full-width ASCII form, a base and combining mark that have a composed form, an
-    invisible character other than an emoji's, a space other than ASCII's, or a mostly Latin word with a letter
-    of another alphabet."""
+    """True where an unseen step of canonical() changes the text: it holds a full-width ASCII form, a base and
+    combining mark that have a composed form, an invisible character other than an emoji's or a space other than
+    ASCII's, or a Latin word has a letter of another alphabet (also one that looks like no Latin letter)."""
     if not text or text.isascii():
         return False
-    if _fullwidth.search(text) or _space.search(text):
-        return True
-    if _text_mark.search(text) and any(len(unicodedata.normalize("NFC", m.group())) < len(m.group()) for m in _cluster.finditer(text)):
-        return True
-    return _hidden(text) or bool(_mixed_words(_ignorable.sub("", text)))
+    return unseen(text) != text or bool(_mixed_words(text))
 
 
 def canonical(text: str | None) -> str | None:
-    """The one form: default-ignorable characters removed (but in emoji), look-alike letters of Latin words
-    replaced, compatibility normalisation composed (NFKC), full case folding, and every run of white space a
-    single space, none at the ends.  It is stable: applied again it changes nothing."""
-    if not text:
-        return text
-    if not text.isascii():
-        text = _strip(text)
-        text = unicodedata.normalize("NFKC", text)
-        for a, b in reversed(_mixed_words(text)):
-            text = text[:a] + "".join(LOOKALIKES.get(c) or MORE_LOOKALIKES.get(c, c) for c in text[a:b]) + text[b:]
-        # folding may undo the composed form, and composing the folding
-        for _ in range(4):
-            folded = _strip(unicodedata.normalize("NFKC", text.casefold()))
-            if folded == text:
-                break
-            text = folded
-        text = _space.sub(" ", text)
-    else:
-        text = text.lower()
-    return " ".join(text.split())
-
+    """The one form: the unseen steps (default-ignorable characters removed but in emoji, spaces, widths, composed
+    marks, look-alike letters of Latin words), compatibility normalisation composed (NFKC), full case folding, and
+    every run of white space a single space, none at the ends.
 
-def _strip(text: str) -> str:
-    if not _ignorable.search(text):
+    All steps are repeated until none changes anything, as folding may make a letter that has a look-alike and
+    replacing one a word that folds, so the form is stable: applied again it changes nothing."""
+    if not text:
         return text
-    return _ignorable.sub(lambda m: m.group() if _in_emoji.match(text, m.start()) else "", text)
+    if text.isascii():
+        return " ".join(text.lower().split())
+    for _ in range(ROUNDS):
+        after = " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", unseen(text)).casefold()).split())
+        if after == text:
+            break
+        text = after
+    return text
 
 
 def _quotes(value: str | None) -> list | None:
@@ -122,19 +147,31 @@ def canonical_json(value: str | None) -> str | None:
     return json.dumps([canonical(q) if isinstance(q, str) else q for q in found], ensure_ascii=False)
 
 
-def _per_distinct(column: pa.Array, f, kept: dict, kind: pa.DataType) -> pa.Array:
-    """f of every distinct value of the column, spread over its rows again."""
+class _Kept(dict):
+    """Results of distinct values, dropped when their characters pass a bound; `f` makes what is missing."""
+
+    def __init__(self, f):
+        super().__init__()
+        self.f, self.chars = f, 0
+
+    def __missing__(self, value):
+        result = self.f(value)
+        size = len(value or "") + (len(result) if isinstance(result, str) else 1)
+        if self.chars + size > KEPT_CHARS:
+            self.clear()
+            self.chars = 0
+        if size <= KEPT_CHARS:
+            self[value] = result
+            self.chars += size
+        return result
+
+
+def _per_distinct(column: pa.Array, kept: _Kept, kind: pa.DataType) -> pa.Array:
+    """The results of every distinct value of the column, spread over its rows again."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     coded = column.dictionary_encode()
-    if len(kept) > KEPT:
-        kept.clear()
-    out = []
-    for value in coded.dictionary.to_pylist():
-        if value not in kept:
-            kept[value] = f(value)
-        out.append(kept[value])
-    return pa.array(out, kind).take(coded.indices)
+    return pa.array([kept[value] for value in coded.dictionary.to_pylist()], kind).take(coded.indices)
 
 
 def _narrow(df: DataFrame, id_col: str, text_col: str, json_col: str) -> DataFrame:
@@ -148,10 +185,10 @@ def canonical_rows(df: DataFrame, id_col: str = "id", text_col: str = "body", js
     empty table gives an empty result; other columns aren't read.  Nothing is shuffled."""
 
     def make():
-        texts, lists = {}, {}
+        texts, lists = _Kept(canonical), _Kept(canonical_json)
 
         def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column("id"), _per_distinct(batch.column("t"), canonical, texts, pa.string()), _per_distinct(batch.column("j"), canonical_json, lists, pa.string())], ["id", text_col, json_col])
+            return pa.RecordBatch.from_arrays([batch.column("id"), _per_distinct(batch.column("t"), texts, pa.string()), _per_distinct(batch.column("j"), lists, pa.string())], ["id", text_col, json_col])
 
         return handle
 
@@ -165,13 +202,13 @@ def deviating_values(df: DataFrame, id_col: str = "id", text_col: str = "body",
     empty result; other columns aren't read.  Nothing is shuffled."""
 
     def make():
-        texts, lists = {}, {}
+        texts, lists = _Kept(deviates), _Kept(deviates_json)
 
         def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, names = [], []
-            for column, name, f, kept in (("t", text_col, deviates, texts), ("j", json_col, deviates_json, lists)):
+            for column, name, kept in (("t", text_col, texts), ("j", json_col, lists)):
                 if batch.num_rows:
-                    own = batch.column("id").filter(_per_distinct(batch.column(column), f, kept, pa.bool_()))
+                    own = batch.column("id").filter(_per_distinct(batch.column(column), kept, pa.bool_()))
                     ids.append(own)
                     names += [name] * len(own)
             return pa.RecordBatch.from_arrays([pa.concat_arrays(ids) if ids else pa.array([], pa.int64()), pa.array(names, pa.string())], ["id", "field_name"])

@@ -150,6 +150,26 @@ def test_lookalikes_of_every_script():
         assert s.isascii() and canonical.canonical(s) == s, c
 
 
+def test_the_form_is_stable():
+    letters = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]) if canonical._other_script.match(c)]
+    others = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]) if unicodedata.category(c)[0] in "MZ" or unicodedata.category(c) in ("Cf", "No", "Lm") or "！" <= c <= "～"]
+    r = random.Random(6)
+    texts = [x for c in letters + others for x in ("a" + c, c + "ß", c)] + ["Һn", "\u0345ß", "ｅ\u0301a"]
+    texts += ["".join(r.choice(letters if r.random() < 0.5 else others if r.random() < 0.5 else "aBßnİ e") for _ in range(r.randrange(2, 6))) for _ in range(30000)]
+    for x in texts:
+        y = canonical.canonical(x)
+        assert canonical.canonical(y) == y and canonical.unseen(y) == y, x
+        assert not canonical.deviates(y) or canonical._mixed_words(y), x  # only letters that look like no Latin one
+
+
+def test_kept_values_are_bounded(monkeypatch):
+    monkeypatch.setattr(canonical, "KEPT_CHARS", 100)
+    kept = canonical._Kept(str.lower)
+    for i in range(50):
+        assert kept[f"Value {i}"] == f"value {i}" and kept.chars <= 100
+    assert kept["X" * 500] == "x" * 500 and "X" * 500 not in kept
+
+
 def test_deviations():
     bad = ["ａbc", "Café", "a​b", "soft­hyphen", "no break", "thin space", "pаyment", "a‍ b"]
     good = [None, "", "plain", "Café – “quotes” … 🙏", "👩‍💻 👨‍👩‍👧 ❤️", "Ошибка сервера", "在庫不足", "the Ω release", "½ ² €"]
