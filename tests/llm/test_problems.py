@@ -128,6 +128,19 @@ def test_top_items(spark, bands):
     assert top_items.top_per_group(df.limit(0), "g", "s", "i").count() == 0
 
 
+def test_top_items_of_a_hot_group(spark, monkeypatch):
+    # nine tenths of the rows in one group, most of one score, and filled groups that aren't sent to all tasks
+    monkeypatch.setattr(top_items, "SMALL_SIDE", 0)
+    df = spark.range(20000).selectExpr("if(id % 10 = 0, concat('g', id % 700), 'hot') g", "if(id % 3 = 0, double(id % 50), 7.5D) s", "id i")
+    rows = [tuple(x) for x in df.collect()]
+    want = set()
+    for g in {x[0] for x in rows}:
+        want |= {(g, k + 1, x[2]) for k, x in enumerate(sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], x[2]))[:3])}
+    assert {tuple(x) for x in top_items.top_per_group(df, "g", "s", "i", 3, bands=5).collect()} == want
+    odd = spark.sql("select 'a' g, double('NaN') s, 5L i union all select 'a', 1e300D, 4L union all select 'a', double('Infinity'), 1L union all select 'a', 2D, 2L")
+    assert sorted((x.rank_no, x.i) for x in top_items.top_per_group(odd, "g", "s", "i", 3, bands=3).collect()) == [(1, 5), (2, 1), (3, 4)]
+
+
 # 3
 
 
