@@ -12,12 +12,12 @@ from .base import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.Truncation(table(spark, sf_dir, "pain_points", "id", "source", "body", "summary")).values().select("id", "field_name")
+    return truncation.Truncation(spread(table(spark, sf_dir, "pain_points", "id", "source", "body", "summary"))).values().select("id", "field_name")
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many and what share of its bodies and summaries each source truncates."""
-    return truncation.Truncation(table(spark, sf_dir, "pain_points", "id", "source", "body", "summary")).report()
+    return truncation.Truncation(spread(table(spark, sf_dir, "pain_points", "id", "source", "body", "summary"))).report()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +42,13 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.NearDuplicates(table(spark, sf_dir, "pain_points", "id", "title", "body")).pairs()
+    return near_duplicates.NearDuplicates(spread(table(spark, sf_dir, "pain_points", "id", "title", "body"))).pairs()
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each record that counts: its group of records that tell the same text, its class of equal ones
     within it, and the number of other classes it is linked to."""
-    return near_duplicates.NearDuplicates(table(spark, sf_dir, "pain_points", "id", "title", "body")).groups()
+    return near_duplicates.NearDuplicates(spread(table(spark, sf_dir, "pain_points", "id", "title", "body"))).groups()
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

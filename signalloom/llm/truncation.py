@@ -237,12 +237,15 @@ def _last_words(text: str) -> list[str]:
 class Truncation:
     """Truncated values of text fields and how often each source truncates them.
 
-    hazards: the tested lengths.  values(): (id, field_name) of the truncated values.  report(): (source,
-    field_name, n_values, n_truncated, share) over all not-null values.
+    hazards: the tested lengths.  values(): (id, source, field_name, by_length) of the truncated values; by_length
+    is true at a significant length that is confirmed as a limit, false for losses in transfer, which stop at any
+    length and are told by their end alone.  report(): (source, field_name, n_values, n_truncated, n_by_length,
+    share) over all not-null values.
 
     Lengths are characters.  Hazards and the model of text ends are counted over all values; of the model only the
-    contexts that an open-ended value asks for are kept, and they are joined to it.  Null, empty, blank and removed values are no cases; a null source is a source of its own; repeated rows are each reported; an
-    empty table gives empty results; other columns aren't read."""
+    contexts that an open-ended value asks for are kept, and they are joined to it.  Null, empty, blank and removed
+    values are no cases; a null source is a source of its own; repeated rows are each reported; an empty table gives
+    empty results; other columns aren't read."""
 
     def __init__(self, df: DataFrame, *, id_col: str = "id", source_col: str = "source", fields: tuple[str, ...] = ("body", "summary")):
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), *(F.col(c).cast("string").alias(f"t{k}") for k, c in enumerate(fields)))
@@ -335,10 +338,10 @@ class Truncation:
         judged = cut(rows.select("id", *key, alone.alias("alone"), there.alias("there")).where("alone or there"))
         confirmed = judged.where("there").groupBy(key).agg(F.avg(F.col("alone").cast("double")).alias("unfinished")).where(F.col("unfinished") >= CONFIRMED).select(*key, F.lit(True).alias("limit"))
         confirmed = F.broadcast(confirmed) if self.small else confirmed
-        return judged.join(confirmed, key, "left").where("alone or (there and limit)").select("id", "source", "field_name")
+        return judged.join(confirmed, key, "left").select("id", "source", "field_name", "alone", F.coalesce(F.col("there") & F.col("limit"), F.lit(False)).alias("by_length")).where("alone or by_length").drop("alone")
 
     def report(self) -> DataFrame:
         total = self.hazards.groupBy("source", "field_name").agg(F.sum("n").alias("n_values"))
-        cut_off = self.values().groupBy("source", "field_name").agg(F.count("*").alias("n_truncated"))
-        joined = total.join(cut_off, ["source", "field_name"], "left").withColumn("n_truncated", F.coalesce("n_truncated", F.lit(0)))
+        cut_off = self.values().groupBy("source", "field_name").agg(F.count("*").alias("n_truncated"), F.count_if("by_length").alias("n_by_length"))
+        joined = total.join(cut_off, ["source", "field_name"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_truncated", "n_by_length")})
         return joined.withColumn("share", F.col("n_truncated") / F.col("n_values"))
