@@ -381,15 +381,53 @@ def test_leaks(spark):
     assert leakage.find_leaks(df.limit(0), ev).count() == 0 and leakage.find_leaks(df, ev.limit(0)).count() == 0
 
 
-def test_leaks_with_edits(spark):
-    passage = texts(1, 7, 30)[0].split()
-    edited = passage[:20]
-    edited[10] = "changed"
-    rows = [(1, "intro words " + " ".join(edited) + " end"), (2, " ".join(passage[:9])), (3, " ".join(texts(1, 8, 40)))]
-    df, ev = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("p", " ".join(passage))], "post_id string, body string")
-    (r,) = leakage.find_leaks(df, ev, edits=1).collect()
-    assert (r.doc_id, r.run_words) == (1, 10) and r.aligned_words >= 19
-    assert leakage.find_leaks(df, ev).count() == 0
+def aligned_brute(doc, item, edits):
+    """Most equal words of an alignment with at most so many edits, by the full table."""
+    best = 0
+    table = [[[0] * (len(item) + 1) for _ in range(len(doc) + 1)] for _ in range(edits + 1)]
+    for e in range(edits + 1):
+        for i in range(1, len(doc) + 1):
+            for j in range(1, len(item) + 1):
+                v = table[e][i - 1][j - 1] + 1 if doc[i - 1] == item[j - 1] else 0
+                if e:
+                    v = max(v, table[e - 1][i - 1][j - 1], table[e - 1][i - 1][j], table[e - 1][i][j - 1])
+                table[e][i][j] = v
+                best = max(best, v)
+    return best
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_leaks_with_edits(spark, edits):
+    r = random.Random(edits)
+    items = [(f"e{i}", t) for i, t in enumerate(texts(5, 21, 30))]
+    docs = []
+    for i in range(80):
+        words = items[i % 5][1].split()[r.randrange(12) :][: r.randrange(9, 18)]
+        for _ in range(r.randrange(0, 4)):
+            at = r.randrange(len(words))
+            kind = r.randrange(3)
+            words[at : at + (kind != 1)] = [r.choice([*NAMES, "x" * 90])] if kind != 2 else []
+        docs.append((i, " ".join([*texts(1, 500 + i, 20), *words, *texts(1, 900 + i, 20)])))
+    want = {(i, p) for i, t in docs for p, b in items if aligned_brute(t.split(), b.split(), edits) >= 12}
+    df, ev = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "post_id string, body string")
+    assert {(x.doc_id, x.post_id) for x in leakage.find_leaks(df, ev, edits=edits).collect()} == want
+    exact = {(x.doc_id, x.post_id) for x in leakage.find_leaks(df, ev).collect()}
+    assert exact == {(i, p) for i, t in docs for p, b in items if aligned_brute(t.split(), b.split(), 0) >= 12} and exact < want
+
+
+def test_one_short_item_lets_no_more_through():
+    items = [(f"e{i}", leakage.plain(t)) for i, t in enumerate(texts(6, 31, 40))]
+    tiny = ("tiny", leakage.plain("a b c d e f g h i j k l"))
+    one, two = leakage.Index(items, 12, 0), leakage.Index([*items, tiny], 12, 0)
+    r = random.Random(8)
+    pool = [w for _, t in items for w in t.decode().split()]
+    text = leakage.plain(" ".join(r.choice(pool) for _ in range(20000)))  # many shared q-grams, hardly a passage
+    assert (one.least == two.least[:-1]).all() and two.least[-1] < one.least.min() // 2
+    assert len(two.regions(text)) == len(one.regions(text)) < 0.02 * len(text)
+    whole = b"".join([text, items[2][1], tiny[1]])
+    at = two.regions(whole)
+    found = two.bands(*two.shared(whole, np.array([0]), at))
+    assert {k for _, k, *_ in found} == {2, 6}
 
 
 # 8
