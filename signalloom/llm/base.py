@@ -1,59 +1,19 @@
-"""What the operators of this subpackage share: table reading, shared-folder tables and Arrow helpers."""
+"""What the operators of this subpackage share: Arrow helpers, and the core's reading and intermediate tables."""
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-TOKENIZER_DIR = "/opt/tokenizers"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of one Parquet table of the data folder."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A plain scan of fewer partitions than there are cores, dealt out to all; a larger one stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+from pyspark.sql import DataFrame
 
+from ..sources.tables import checkpointed as cut
+from ..sources.tables import spread, table, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, as the session names it; a local one is set only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if (at := spark.sparkContext.getCheckpointDir()) is None:
-        at = f"file:///tmp/signalloom-{os.getuid()}"
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+__all__ = ["TOKENIZER_DIR", "cut", "per_batch", "slices", "spread", "table", "written"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with the lineage cut by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
-    """The same rows, read back from Parquet in the shared folder; it outlives lost executors."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+TOKENIZER_DIR = "/opt/tokenizers"
 
 
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]], schema: str) -> DataFrame:
@@ -82,8 +42,3 @@ def slices(batch: pa.RecordBatch, column: str, chars: int) -> Iterator[pa.Record
         total += n
     if start < len(sizes):
         yield batch.slice(start)
-
-
-def blank(text: Column) -> Column:
-    """True for null, empty and white-space texts."""
-    return text.isNull() | (F.length(F.trim(text)) == 0)

@@ -18,6 +18,8 @@ BATCH_BYTES = 4 << 20
 SAME, INSIDE, WORD, SENTENCE, PARAGRAPH = range(-1, 4)
 #: A segment of more ids than this may be cut inside, at steps of so many characters.
 STEP_IDS, STEP_CHARS = 48, 24
+#: A step of one text's characters may take so many ids: four bytes each, and as many for what is merged differently.
+LEAST_LIMIT = 128
 
 _sentence_end = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 
@@ -117,7 +119,7 @@ def split_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, piece_no from 0, char_start, char_end, n_tokens[, piece]) in order within each document.
 
     Each piece has at most `limit` ids of the vocabulary, counted on the piece's own text.  Pieces cover the
-    whole text; each repeats at most the last `overlap` ids of the one before.  A text within the limit is
+    whole text; each repeats at most the last `overlap` ids of the one before.  A limit under LEAST_LIMIT raises.  A text within the limit is
     one piece; null and empty texts are one empty piece.  Text without boundaries is cut between characters.
 
     Boundaries of all documents of a batch lie in one successor table; squaring it (pointer doubling) gives
@@ -125,6 +127,8 @@ def split_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Repeated rows and null ids are kept; an empty table gives an empty result; other columns aren't read."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be less than limit")
+    if limit < LEAST_LIMIT:
+        raise ValueError(f"limit must be at least {LEAST_LIMIT}")
 
     def make():
         encoder, kinds_of = Encoder(vocabulary), _Kinds()
@@ -162,7 +166,9 @@ def split_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         got.append((int(starts[a]), int(starts[b]), _exact(texts[i], starts, own, a, b, inside, encoder)))
                     if got[-1][0] == got[-1][1]:
                         got.pop()
-                    if any(n > limit for _, _, n in got) and allowed > 4:
+                    if any(n > limit for _, _, n in got):
+                        if allowed <= 1:
+                            raise ValueError("no cut keeps a piece within the limit")
                         again.append(i)
                     else:
                         pieces[i] = got
