@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from hashlib import blake2b
 from itertools import chain
+from math import ceil, log, log10
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +15,19 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .base import cut, per_batch, written
-from .setsketch import Family, band_keys, joint_similarity, mixed
+from .setsketch import Family, band_keys, mixed, reaches
 
-#: Two texts of similarity s share a band with probability 1 - (1 - s^WIDTH)^BANDS: 0.90 at 0.6, 0.97 at 0.635, 0.995 at 0.675, 0.9999 at 0.72.
-BANDS, WIDTH = 80, 7
+#: Registers of a band up to so many rows, one more for every tenfold; there are as many bands as give this recall at the threshold.
+WIDTH, WIDTH_ROWS, RECALL = 7, 10_000_000, 0.896
 #: Registers of the joint estimate, coarser, and how many standard deviations it may lie under the threshold.
 JOINT, JOINT_BASE, JOINT_Q, MARGIN = 64, 1.1, 254, 3.5
 #: Classes of equal texts that a task remembers so as to send each once, and words whose hash it keeps.
 SEEN, WORDS = 500_000, 400_000
-#: More texts than this under one band key are paired in blocks of about this size.
-HOT = 4096
-#: The most ids sent to all tasks; more are joined by a shuffle.
+#: Band keys that a task looks at together, and how many of them a key must have to be hot, which is about a fortieth of the texts.
+LOOK, LOOK_HOT = 1 << 20, 320
+#: More texts than this under one band key are hot too, and texts of a hot key are compared in blocks of about this size.
+HOT, BLOCK = 4096, 2048
+#: The most ids or keys sent to all tasks; more are joined by a shuffle.
 SMALL_SIDE = 2_000_000
 
 _word = re.compile(r"[^\W_]+")
@@ -88,58 +91,63 @@ class Shingler:
         return self.sets(batch.column("title").to_pylist(), batch.column("body").to_pylist(), min_words)
 
 
-def _bands(narrow: DataFrame, min_words: int) -> DataFrame:
-    """(key, fp) of each band of each text, once in a task for equal texts."""
+def shape(rows: int, threshold: float) -> tuple[int, int]:
+    """(bands, width) for so many rows: two texts of similarity s share a band with probability 1 - (1 - s^width)^bands.
 
-    def make():
-        shingler, family, seen = Shingler(), Family(BANDS * WIDTH), set()
+    Chance pairs grow with the square of the rows, so bands get longer with them and more, at the same recall."""
+    width = WIDTH + max(0, ceil(log10(max(1, rows) / WIDTH_ROWS)))
+    return max(1, ceil(log(1 - RECALL) / log(1 - min(0.999, threshold**width)))), width
 
-        def handle(batch: pa.RecordBatch):
-            for start in range(0, batch.num_rows, 1000):
-                sets, fps = [], []
-                if len(seen) > SEEN:
-                    seen.clear()
-                _, own, marks = shingler.of(batch.slice(start, 1000), min_words)
-                for pairs, fp in zip(own, marks.tolist()):
-                    if fp not in seen:
-                        seen.add(fp)
-                        sets.append(pairs)
-                        fps.append(fp)
-                keys = band_keys(family.of_sets(sets), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(fps, np.int64), BANDS))], ["key", "fp"])
 
-        return handle
-
-    return per_batch(narrow, make, "key long, fp long")
+def _texts(narrow: DataFrame, min_words: int, bands: int, width: int) -> DataFrame:
+    """(id, fp, n, registers, keys, hot): each text that counts, and once in a task for equal texts the registers of the
+    joint estimate and the band keys.  Rows without fp only name hot keys, which occur often in what a task looks at."""
 
+    def run(batches):
+        shingler, seen = Shingler(), set()
+        banded, joint = Family(bands * width), Family(JOINT, first=1 << 20, base=JOINT_BASE, q=JOINT_Q)
+        looked: list[np.ndarray] = []
+        size = 0
 
-def _classes(narrow: DataFrame, min_words: int) -> DataFrame:
-    """(id, fp, n, registers) of each text that counts; the registers once in a task for equal texts."""
+        def hot() -> np.ndarray:
+            keys, counts = np.unique(np.concatenate(looked), return_counts=True)
+            looked.clear()
+            return keys[counts >= LOOK_HOT]
 
-    def make():
-        shingler, family, seen = Shingler(), Family(JOINT, first=1 << 20, base=JOINT_BASE, q=JOINT_Q), set()
+        def named(keys: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"hot": keys.tolist()}], schema)
 
-        def handle(batch: pa.RecordBatch):
+        schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("registers", pa.binary()), ("keys", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64()))])
+        for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 if len(seen) > SEEN:
                     seen.clear()
-                sets, at = [], []
                 rows, own, fps = shingler.of(part, min_words)
+                first = np.zeros(len(rows), bool)
                 for k, fp in enumerate(fps.tolist()):
                     if fp not in seen:
                         seen.add(fp)
-                        at.append(k)
-                        sets.append(own[k])
-                sizes = list(map(len, own))
+                        first[k] = True
+                sets = [own[k] for k in np.flatnonzero(first)]
+                keys = band_keys(banded.of_sets(sets), bands)
                 registers: list[bytes | None] = [None] * len(rows)
-                for i, r in zip(at, family.of_sets(sets)):
+                for i, r in zip(np.flatnonzero(first), joint.of_sets(sets)):
                     registers[i] = r.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows, pa.int64())), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(registers, pa.binary())], ["id", "fp", "n", "registers"])
-
-        return handle
-
-    return per_batch(narrow, make, "id long, fp long, n long, registers binary")
+                ends = np.concatenate([[0], np.cumsum(first * bands)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
+                columns = [part.column("id").take(pa.array(rows, pa.int64())), pa.array(fps, pa.int64()), pa.array(list(map(len, own)), pa.int64()), pa.array(registers, pa.binary()), lists, pa.nulls(len(rows), schema.field("hot").type)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                looked.append(keys.ravel())
+                size += keys.size
+                if size >= LOOK:
+                    size = 0
+                    if len(found := hot()):
+                        yield named(found)
+        if looked and len(found := hot()):
+            yield named(found)
+
+    return narrow.mapInArrow(run, "id long, fp long, n long, registers binary, keys array<long>, hot array<long>")
 
 
 def _pairs_of_runs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,32 +210,60 @@ def _collisions(bands: DataFrame) -> DataFrame:
     return bands.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "key long, a long, b long")
 
 
-def _hot_pairs(found: DataFrame) -> DataFrame:
-    """Pairs of texts under hot keys: every key's texts are dealt into blocks, and pairs of blocks joined apart."""
-    rows = found.where("key is not null").select("key", F.col("a").alias("fp")).dropDuplicates()
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"))
-    dealt = rows.join(F.broadcast(sizes) if sizes.count() <= SMALL_SIDE else sizes, "key").withColumn("block", F.expr("cast(pmod(xxhash64(fp), blocks) as int)"))
-    left = dealt.select("key", F.col("fp").alias("a"), F.col("block").alias("i"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
-    right = dealt.select("key", F.col("fp").alias("b"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.col("block").alias("j"))
-    return left.join(right, ["key", "i", "j"]).where("a < b").select("a", "b")
+def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """For pairs of registers and set sizes: sizes allow the threshold, and the joint likelihood estimate isn't clearly
+    under it."""
+    least = threshold - MARGIN * (threshold * (1 - threshold) / JOINT) ** 0.5
+    near = np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
+    at = np.flatnonzero(near)
+    near[at] = reaches(a[at], b[at], n[at], m[at], JOINT_BASE, least)
+    return near
 
 
-def _estimated(pairs: DataFrame, base: float, threshold: float) -> DataFrame:
-    """The pairs whose joint likelihood estimate isn't clearly under the threshold."""
-    least = threshold - MARGIN * (threshold * (1 - threshold) / JOINT) ** 0.5
+def _estimated(pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that are likely."""
 
     def make():
         def handle(batch: pa.RecordBatch) -> pa.RecordBatch:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, JOINT) for c in ("ra", "rb"))
             n, m = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-            near = (joint_similarity(a, b, n, m, base) >= least) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
-            return batch.select(["a", "b", "ida", "idb"]).filter(pa.array(near))
+            return batch.select(["a", "b", "ida", "idb"]).filter(pa.array(likely(a, b, n, m, threshold)))
 
         return handle
 
     return per_batch(pairs, make, "a long, b long, ida long, idb long")
 
 
+def _hot_pairs(hot: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, ida, idb): the likely pairs of texts under hot keys (key, fp), without naming the others.
+
+    A key's texts are dealt into blocks; every pair of blocks is compared by registers in a task of its own, which
+    passes on only what is likely.  Its work is quadratic in a hot key's texts, but nothing is left out."""
+    rows = hot.dropDuplicates().join(classes.select("fp", "rep", "n", "registers"), "fp")
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(sizes) if sizes.count() <= SMALL_SIDE else sizes, "key").withColumn("block", F.expr("cast(pmod(xxhash64(fp), blocks) as int)"))
+    cells = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    cells = cells.select("key", "fp", "rep", "n", "registers", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        fp, rep, n, block = (table.column(c).to_numpy() for c in ("fp", "rep", "n", "block"))
+        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(-1, JOINT)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = [np.empty((2, 0), np.int64)]
+        for x in left.tolist():
+            y = right[fp[right] > fp[x]] if i == j else right
+            one = np.full(len(y), x)
+            good = likely(registers[one], registers[y], n[one].astype(float), n[y].astype(float), threshold)
+            found.append(np.stack([one[good], y[good]]))
+        x, y = np.concatenate(found, axis=1)
+        swap = fp[x] > fp[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        return pa.table({"a": fp[x], "b": fp[y], "ida": rep[x], "idb": rep[y]})
+
+    return cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, ida long, idb long")
+
+
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): the exact Jaccard similarity of the pairs' texts, where it reaches the threshold."""
 
@@ -262,24 +298,36 @@ class NearDuplicates:
     title = empty) have a Jaccard similarity of at least `threshold`.  Texts with equal sets form a class; links
     are found between classes, so copies cost nothing more however many they are.
 
-    SetSketch registers are banded; classes that share a band are candidates, which the joint likelihood
-    estimate thins out and an exact comparison of the texts verifies.  The candidates aren't capped.
+    SetSketch registers are banded, in a shape that goes by the number of rows; classes that share a band are
+    candidates, which the joint likelihood estimate thins out and an exact comparison of the texts verifies.  Keys
+    that a task sees often are hot: they are kept out of the shuffle by key, and their texts compared in blocks, as
+    are those of other keys of more than HOT texts.
+    The candidates aren't capped.
 
     members: (id, fp), the class of each text that counts.  links: (a, b, similarity), between class ids, a < b.
     Repeated ids are kept as rows; null, empty and short bodies are left out; an empty table gives empty results."""
 
     def __init__(self, df: DataFrame, *, id_col: str = "id", title_col: str = "title", body_col: str = "body", min_words: int = 40, threshold: float = 0.6):
         narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(title_col).cast("string").alias("title"), F.col(body_col).cast("string").alias("body")).where("id is not null and body is not null")
-        found = written(_collisions(_bands(narrow, min_words)), "collisions")
-        candidates = found.where("key is null").select("a", "b")
-        if not found.where("key is not null").isEmpty():
-            candidates = candidates.unionAll(_hot_pairs(found))
-        self.members = written(_classes(narrow, min_words), "members")
-        classes = self.members.groupBy("fp").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("registers").alias("registers"), F.count("*").alias("copies"))
+        bands, width = shape(narrow.count(), threshold)
+        texts = written(_texts(narrow, min_words, bands, width), "texts")
+        self.members = texts.where("fp is not null").select("id", "fp")
+        classes = texts.where("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("registers").alias("registers"), F.count("*").alias("copies"))
         self.classes = classes = written(classes, "classes")
+        keys = texts.where("size(keys) > 0").select("fp", F.explode("keys").alias("key"))
+        hot = cut(texts.where("hot is not null").select(F.explode("hot").alias("key")).distinct())
+        n_hot = hot.count()
+        hot = F.broadcast(hot) if n_hot <= SMALL_SIDE else hot
+        found = written(_collisions(keys.join(hot, "key", "left_anti") if n_hot else keys), "collisions")
+        candidates = found.where("key is null").select("a", "b").dropDuplicates()
         side = classes.select("fp", "rep", "n", "registers")
         one, two = (side.select(F.col("fp").alias(x), F.col("rep").alias(f"id{x}"), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}")) for x in "ab")
-        near = cut(_estimated(candidates.dropDuplicates().join(one, "a").join(two, "b"), JOINT_BASE, threshold))
+        near = _estimated(candidates.join(one, "a").join(two, "b"), threshold)
+        late = found.where("key is not null").select("key", F.col("a").alias("fp"))
+        if n_hot or not late.isEmpty():
+            late = late.unionAll(keys.join(hot, "key", "left_semi").select("key", "fp")) if n_hot else late
+            near = near.unionAll(_hot_pairs(late, classes, threshold)).dropDuplicates(["a", "b"])
+        near = cut(near)
         wanted = near.select(F.col("ida").alias("id")).unionAll(near.select(F.col("idb").alias("id"))).dropDuplicates()
         wanted = F.broadcast(wanted) if wanted.count() <= SMALL_SIDE else wanted
         # a repeated id may stand for several texts; the one of the class is told by its fingerprint

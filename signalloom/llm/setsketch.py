@@ -9,8 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 RATE = 20.0
-#: Elements whose registers are kept between batches, and the most taken at once.
-KEPT, AT_ONCE = 32_768, 24_000
+#: Registers of single elements that are kept between batches, and the most elements taken at once.
+KEPT_CELLS, AT_ONCE = 18_350_080, 24_000
 
 _MULTIPLY = np.uint64(0xBF58476D1CE4E5B9)
 _GAMMA = 0x9E3779B97F4A7C15
@@ -53,7 +53,7 @@ class Family:
         known[known] = self.keys[at[known]] == unique[known]
         new = unique[~known]
         if len(new):
-            if len(self.keys) + len(new) > KEPT:
+            if len(self.keys) + len(new) > KEPT_CELLS // self.m:
                 self.keys, self.at, self.rows, new = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, self.m), self.kind), unique
             keys = np.concatenate([self.keys, new])
             order = np.argsort(keys, kind="stable")
@@ -114,3 +114,21 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: n
         up = likelihood(x) < likelihood(y)
         low, high = np.where(up, x, low), np.where(up, high, y)
     return (low + high) / 2
+
+
+def reaches(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, base: float, least: float) -> np.ndarray:
+    """Whether joint_similarity() would be at least so much: the likelihood has one peak, so it is where the likelihood
+    still rises at that similarity, or where the sizes allow no more."""
+    more, less = (a > b).sum(axis=1, dtype=np.int32), (a < b).sum(axis=1, dtype=np.int32)
+    same = a.shape[1] - more - less
+    u = size_a / (size_a + size_b)
+    v = 1 - u
+    most = np.minimum(u / v, v / u)
+
+    def terms(j: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p, r = _larger(np.maximum(u - v * j, 1e-12), base), _larger(np.maximum(v - u * j, 1e-12), base)
+        return np.log(p), np.log(r), np.log(np.maximum(1 - p - r, 1e-12))
+
+    low, high = terms(least - 1e-4), terms(least + 1e-4)
+    rises = more * (high[0] - low[0]) + less * (high[1] - low[1]) + same * (high[2] - low[2]) >= 0
+    return (least <= most) & rises

@@ -300,10 +300,41 @@ def test_hot_band_keys_give_all_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(int(k), int(f)) for k, f in zip(keys, fps)] + [(7, 0)], "key long, fp long")
     real = near_duplicates._collisions(df).dropDuplicates().collect()
     assert len(real) == 300 * 299 // 2 + 1 and all(r.key is None for r in real)
-    hot = spark.createDataFrame([(7, i, None) for i in range(100)], "key long, a long, b long")
-    monkeypatch.setattr(near_duplicates, "HOT", 30)
-    pairs = {(r.a, r.b) for r in near_duplicates._hot_pairs(hot).collect()}
-    assert pairs == {(i, j) for i in range(100) for j in range(i + 1, 100)}
+
+
+@pytest.mark.parametrize("look, hot", [(320, 4096), (10**9, 4096), (2, 4096)])
+def test_hot_keys_lose_no_pair(spark, monkeypatch, look, hot):
+    # none, all and most keys of several texts are hot
+    monkeypatch.setattr(near_duplicates, "LOOK_HOT", look)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+    rows = near_rows()
+    got = {(r.id_a, r.id_b) for r in near_duplicates.NearDuplicates(spark.createDataFrame(rows, "id long, title string, body string").coalesce(2)).pairs().collect()}
+    want = brute_pairs(rows)
+    assert got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_likely_pairs_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 9)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: rng.integers(120, 300)], rng.integers(0, 1 << 63, 60).astype(np.uint64)])) for _ in range(40)]
+    registers = Family(near_duplicates.JOINT, first=1 << 20, base=near_duplicates.JOINT_BASE, q=near_duplicates.JOINT_Q).of_sets(sets)
+    classes = spark.createDataFrame([(i, 100 + i, len(x), registers[i].tobytes()) for i, x in enumerate(sets)], "fp long, rep long, n long, registers binary")
+    got = {(r.a, r.b) for r in near_duplicates._hot_pairs(spark.createDataFrame([(5, i) for i in range(40)] + [(5, 3)], "key long, fp long"), classes, 0.6).collect()}
+    least = 0.6 - near_duplicates.MARGIN * (0.24 / near_duplicates.JOINT) ** 0.5
+    n = np.array([float(len(x)) for x in sets])
+    for i in range(40):
+        for j in range(i + 1, 40):
+            est = joint_similarity(registers[i][None], registers[j][None], n[i : i + 1], n[j : j + 1], near_duplicates.JOINT_BASE)[0]
+            if abs(est - least) > 1e-3:
+                assert ((i, j) in got) == (est >= least and min(n[i], n[j]) >= 0.6 * max(n[i], n[j])), (i, j, est)
+
+
+def test_bands_keep_their_recall():
+    for rows, width in ((0, 7), (10**7, 7), (10**8, 8), (10**9, 9)):
+        bands, own = near_duplicates.shape(rows, 0.6)
+        assert own == width and 1 - (1 - 0.6**own) ** bands >= near_duplicates.RECALL
+    assert near_duplicates.shape(1000, 0.6)[0] == 80
 
 
 def test_registers_merge_and_estimate():
