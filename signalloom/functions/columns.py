@@ -56,10 +56,6 @@ def lookup(c: Column, values: dict[str, float], default: str) -> Column:
     return reduce(lambda other, kv: F.when(key == kv[0], F.lit(kv[1]).cast("double")).otherwise(other), values.items(), out)
 
 
-def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low).cast("double"), F.least(F.lit(high).cast("double"), c))
-
-
 def dot(a: Column, b: Column) -> Column:
     """Inner product; 0 for vectors of different lengths."""
     product = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
@@ -99,3 +95,45 @@ def public_url(c: Column) -> Column:
     private = host.rlike(r"^(0|10|127|169\.254|192\.168|172\.(1[6-9]|2\d|3[01])|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])|22[4-9]|2[345]\d)\.") | ~host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     local = (host == "localhost") | host.rlike(r"\.(local|internal|localhost)$") | ~host.contains(".")
     return F.coalesce((host != "") & F.when(number, ~private).otherwise(~local), F.lit(False))
+
+
+def with_comments(body: Column, comments: Column) -> Column:
+    """A body with its comments as a list under it; the body alone without comments, the list alone under a blank one."""
+    lines = F.concat(F.lit("Top comments:\n"), F.array_join(F.transform(comments, lambda x: F.concat(F.lit("- "), x)), "\n"))
+    under = F.when(trimmed(text(body)) == "", lines).otherwise(F.concat(text(body), F.lit("\n\n"), lines))
+    return F.when(F.size(comments) > 0, under).otherwise(text(body))
+
+
+def thread_prompt(title: Column, body: Column, comments: Column) -> Column:
+    """A whole thread as one text: title, body and comments under headings."""
+    lines = F.array_join(F.transform(comments, lambda x: F.concat(F.lit("- "), x)), "\n")
+    return trimmed(F.concat(F.lit("Title: "), text(title), F.lit("\n\nBody:\n"), text(body), F.lit("\n\nThread comments:\n"), lines))
+
+
+def valid_feed(c: Column) -> Column:
+    """True for a name that a subreddit may have."""
+    return F.coalesce(c.rlike(r"^[A-Za-z0-9_]{2,21}$"), F.lit(False))
+
+
+def valid_post_id(c: Column) -> Column:
+    """True for an id that a post may have, with or without its source's prefix."""
+    return F.coalesce(c.rlike(r"^[A-Za-z0-9_:-]+$"), F.lit(False))
+
+
+def exact_quotes(evidence: Column) -> Column:
+    """The quotes of verified evidence (array of quote, match_type) that match exactly, trimmed; the first of those that
+    differ in case only stays."""
+    quotes = F.filter(F.transform(F.filter(evidence, lambda x: x["match_type"] == "exact"), lambda x: trimmed(text(x["quote"]))), lambda x: x != "")
+    low = F.transform(quotes, F.lower)
+    return F.filter(quotes, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
+def grounded_quotes(evidence: Column) -> Column:
+    """The quotes of verified evidence that match in any way."""
+    return F.transform(F.filter(evidence, lambda x: x["match_type"] != "none"), lambda x: x["quote"])
+
+
+def evidence_list(c: str | Column, path: str = "$.verified_evidence") -> Column:
+    """Verified evidence of a JSON payload, empty where it has none."""
+    kind = "array<struct<quote: string, match_type: string>>"
+    return F.coalesce(F.from_json(F.get_json_object(c, path), kind), F.array().cast(kind))

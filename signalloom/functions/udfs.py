@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
-from hashlib import blake2b
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
@@ -40,3 +41,15 @@ def match_form_udf(values: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def bag_vector_udf(values: pd.Series) -> pd.Series:
     return values.map(bag_vector)
+
+
+def review_id(site: str, slug: str, url: str, rating: float, body: str) -> str:
+    """The id of a review that has none of its own: a hash of where it stands and what it says, white space and case of
+    the text and address aside."""
+    said = {"site": site, "slug": slug, "url": url.strip().lower(), "rating": round(rating, 2), "text": " ".join(body.lower().split())}
+    return f"review:{site}:{slug}:{sha256(json.dumps(said, sort_keys=True, ensure_ascii=True).encode()).hexdigest()[:16]}"
+
+
+@F.pandas_udf(T.StringType())
+def review_id_udf(site: pd.Series, slug: pd.Series, url: pd.Series, rating: pd.Series, body: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(r) else review_id(a or "", b or "", c or "", float(r), d or "") for a, b, c, r, d in zip(site, slug, url, rating, body)], dtype=object)

@@ -2,33 +2,30 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from hashlib import sha256
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import tags, text
 from . import features
+from .answers import SHAPES
 
-#: The contract of a saved answer, and the kinds that it may name.
-ANSWER = "category string, severity string, summary string, is_monetizable boolean, pain_level int, willingness_to_pay int, niche_category string, competitor_tags array<string>"
-CATEGORIES, SEVERITIES = ("complaint", "unsolved", "wish"), ("low", "medium", "high")
-
-
-def prompt_key(operation: str, model: str, prompt: Column) -> Column:
-    """The key under which an answer to a prompt is kept."""
-    return F.concat_ws(":", F.lit(operation), F.lit(model), F.sha2(prompt, 256))
-
+def answer_key(operation: str, model: str, prompt: Column, settings: dict | None = None) -> Column:
+    """The key under which an answer to a prompt is kept: operation, model, a hash of the settings and one of the prompt."""
+    made = sha256(json.dumps(settings or {}, sort_keys=True).encode()).hexdigest()[:16]
+    return F.concat_ws(":", F.lit(operation), F.lit(model), F.lit(made), F.sha2(prompt, 256))
 
-def plain_json(c: Column) -> Column:
-    """JSON without the code fence around it."""
-    return F.regexp_replace(F.trim(c), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")
 
+def with_cached(rows: DataFrame, cache: DataFrame, key: Column, answer: str = "response_json") -> DataFrame:
+    """Rows with what the cache (cache_key, response_json) has for their key, null for nothing; of several the largest.
 
-def valid_answer(payload: Column) -> Column:
-    """The parsed answer, or null where it is malformed, names an unknown kind or lies outside 0 to 10."""
-    a = F.from_json(plain_json(payload), ANSWER)
-    level = lambda c: c.between(0, 10)
-    good = a["category"].isin(*CATEGORIES) & a["severity"].isin(*SEVERITIES) & level(a["pain_level"]) & level(a["willingness_to_pay"]) & a["is_monetizable"].isNotNull() & (F.trim(a["summary"]) != "")
-    return F.when(good, a)
+    The cache is looked up by a join before anything costly is asked for."""
+    one = cache.where("cache_key is not null").groupBy("cache_key").agg(F.max("response_json").alias(answer))
+    return rows.withColumn("cache_key", key).join(one, "cache_key", "left")
 
 
 def keyword_answer(t: Column, score: Column) -> Column:
@@ -42,26 +39,60 @@ def keyword_answer(t: Column, score: Column) -> Column:
     )
 
 
-def classified(posts: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """Posts (post_id, title, body) with an answer's fields and `analysis_mode`: saved where `answers` (post_id,
-    payload) has a valid one, else keyword.
+def classified(posts: DataFrame, answers: DataFrame | None = None, *, mode: str = "dual") -> DataFrame:
+    """Posts (post_id, title, body) with an answer's fields, `analysis_mode` and `fallback_reason`.
 
-    Of several answers to a post the first valid one by its text counts. Consumer noise is never monetisable, and
-    willingness to pay is at most 3 where a post isn't. Posts without text get the keyword answer."""
+    answers (post_id, operation, payload) are saved answers of the operations structured, primary and legacy; without the
+    column operation they are primary ones.  In mode dual the first valid answer in that order counts, in mode b2b only
+    the first two, in mode legacy only the last; without one the keyword classifier answers.  A legacy answer takes what
+    it doesn't say from the keyword classifier.  Of several answers of an operation the first valid one by its text
+    counts.  Consumer noise is never monetisable, numbers lie within 0 and 10, willingness to pay is at most 3 where a
+    post isn't monetisable, missing tools come from the text, and unknown kinds of post, hand and buyer are inferred.
+    Posts without text get the keyword answer."""
     t = features.post_text()
     rows = posts.withColumn("t", t).withColumn("category_", features.keyword_category(F.col("t")))
-    rows = rows.withColumn("handness_", features.first_handness(F.col("t"), features.post_type(F.col("t"), F.col("category_"))))
+    rows = rows.withColumn("kind_", features.post_type(F.col("t"), F.col("category_")))
+    rows = rows.withColumn("handness_", features.first_handness(F.col("t"), F.col("kind_")))
     rows = rows.withColumn("score_", features.prescreen_score(F.col("t"), F.array().cast("array<string>"), F.col("handness_")))
-    if answers is None:
-        rows = rows.withColumn("saved_", valid_answer(F.lit(None).cast("string")))
-    else:
-        good = answers.select("post_id", "payload", valid_answer(F.col("payload")).alias("saved_")).where("saved_ is not null and post_id is not null")
-        rows = rows.join(good.groupBy("post_id").agg(F.min_by("saved_", "payload").alias("saved_")), "post_id", "left")
-    rows = rows.withColumn("a", F.coalesce("saved_", keyword_answer(F.col("t"), F.col("score_"))))
-    money = F.col("a.is_monetizable") & ~features.consumer_noise(F.col("t"))
+    own = keyword_answer(F.col("t"), F.col("score_"))
+    tiers = {"dual": ("structured", "primary", "legacy"), "b2b": ("structured", "primary"), "legacy": ("legacy",)}[mode]
+    tiers = tiers if answers is not None else ()
+    if answers is not None:
+        kept = answers if "operation" in answers.columns else answers.withColumn("operation", F.lit("primary"))
+        kept = kept.where("post_id is not null")
+        for name in tiers:
+            good = kept.where(F.col("operation") == name).select("post_id", "payload", SHAPES[name](F.col("payload")).alias("a")).where("a is not null")
+            rows = rows.join(good.groupBy("post_id").agg(F.min_by("a", "payload").alias(f"a_{name}")), "post_id", "left")
+    rows = rows.withColumn("k_", own)
+    none = F.array().cast("array<string>")
+
+    def field(name: str, tier: str) -> Column:
+        a = F.col(f"a_{tier}")
+        if tier == "legacy" and name in ("is_monetizable", "pain_level", "willingness_to_pay", "niche_category"):
+            return F.col(f"k_.{name}")
+        if tier == "structured" and name in ("post_type", "first_handness", "buyer_authority"):
+            return F.lit("unknown")
+        return a[name]
+
+    def value(name: str, keyword: Column) -> Column:
+        out = keyword
+        for tier in reversed(tiers):
+            out = F.when(F.col(f"a_{tier}").isNotNull(), field(name, tier)).otherwise(out)
+        return out
+
+    money = value("is_monetizable", F.col("k_.is_monetizable")) & ~features.consumer_noise(F.col("t"))
+    wtp = F.greatest(F.lit(0), F.least(F.lit(10), value("willingness_to_pay", F.col("k_.willingness_to_pay"))))
+    tools = tags(F.coalesce(value("competitor_tags", F.col("k_.competitor_tags")), none))
+    known = lambda name, inferred: F.coalesce(F.nullif(value(name, F.lit("unknown")), F.lit("unknown")), inferred)
+    said = F.coalesce(*(F.when(F.col(f"a_{tier}").isNotNull(), F.lit(tier)) for tier in tiers), F.lit("keyword"))
+    # the tiers before the one that answered
+    passed = F.concat_ws(",", *(F.when(~reduce(or_, (F.col(f"a_{x}").isNotNull() for x in tiers[: k + 1])), F.lit(f"{tier}_missing")) for k, tier in enumerate(tiers))) if tiers else F.lit("")
     return rows.select(
-        *posts.columns, "a.category", "a.severity", "a.summary", money.alias("is_monetizable"), "a.pain_level", F.when(money, F.col("a.willingness_to_pay")).otherwise(F.least(F.lit(3), F.col("a.willingness_to_pay"))).alias("willingness_to_pay"),
-        text("a.niche_category").alias("niche_category"), tags(F.coalesce("a.competitor_tags", F.array().cast("array<string>"))).alias("competitor_tags"), F.when(F.col("saved_").isNotNull(), "saved").otherwise("keyword").alias("analysis_mode"),
+        *posts.columns, value("category", F.col("k_.category")).alias("category"), value("severity", F.col("k_.severity")).alias("severity"), value("summary", F.col("k_.summary")).alias("summary"), money.alias("is_monetizable"),
+        F.greatest(F.lit(0), F.least(F.lit(10), value("pain_level", F.col("k_.pain_level")))).alias("pain_level"), F.when(money, wtp).otherwise(F.least(F.lit(3), wtp)).alias("willingness_to_pay"),
+        text(value("niche_category", F.col("k_.niche_category"))).alias("niche_category"), F.when(F.size(tools) > 0, tools).otherwise(features.competitor_hints(F.col("t"))).alias("competitor_tags"),
+        known("post_type", F.col("kind_")).alias("post_type"), known("first_handness", F.col("handness_")).alias("first_handness"), known("buyer_authority", features.buyer_authority(F.col("t"))).alias("buyer_authority"),
+        said.alias("analysis_mode"), F.nullif(passed, F.lit("")).alias("fallback_reason"),
     )
 
 

@@ -1,4 +1,4 @@
-"""What a group of signals has in common: its statistics, tools, key words, failures and buyers."""
+"""What a group of signals has in common: its statistics, tools, key words, failures, quotes and buyers."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
-from ..functions.columns import contains_any, text
+from ..functions.columns import contains_any, exact_quotes, text
 
 
 def group_stats(df: DataFrame, group: str) -> DataFrame:
@@ -80,3 +80,42 @@ def buyer_summary(df: DataFrame, group: str) -> DataFrame:
         F.coalesce(F.sum(auth).cast("double") / F.nullif(F.count(auth), F.lit(0)), F.lit(0.0)).alias("avg_authority"), F.coalesce(F.avg(scaled), F.lit(0.0)).alias("avg_wtp"),
         F.count_if(text("body").rlike("(?i)" + L.WTP_PATTERN)).alias("wtp_texts"),
     )
+
+
+def first_distinct(rows: DataFrame, group: str, value: str, order: str, k: int, name: str) -> DataFrame:
+    """(group, name): the first k different values of each group, in the order in which they are first seen; values that
+    differ in case only are one, blank ones don't count.  Repeats are combined before the shuffle."""
+    seen = rows.where(F.trim(text(value)) != "").groupBy(group, F.lower(value).alias("low")).agg(F.min(F.struct(order, value)).alias("first"))
+    w = Window.partitionBy(group).orderBy(f"first.{order}", f"first.{value}")
+    best = seen.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    return best.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("r", F.col(f"first.{value}").alias("v")))).alias("l")).select(group, F.transform("l", lambda x: x["v"]).alias(name))
+
+
+def tool_quotes(signals: DataFrame, tags: DataFrame, evidence: Column, k: int = 5) -> DataFrame:
+    """(tool, quotes): the first k different exact quotes of the signals that name a tool, by their ids."""
+    pairs = tags.select("post_id", F.lower(F.trim("competitor_tag")).alias("tool")).where("post_id is not null and tool <> ''").distinct()
+    quotes = signals.select("post_id", "id", F.posexplode(exact_quotes(evidence)).alias("at", "quote")).select("post_id", F.struct("id", "at").alias("seen"), "quote")
+    return first_distinct(pairs.join(quotes, "post_id"), "tool", "quote", "seen", k, "quotes")
+
+
+def radar_order() -> list[Column]:
+    """Tools by mentions, mean score and name."""
+    return [F.col("mentions").desc(), F.coalesce("avg_score", F.lit(0.0)).desc(), F.col("tool").asc()]
+
+
+def buyer_roles(df: DataFrame, group: str, order: str = "id") -> DataFrame:
+    """(group, role, n, place): known roles of buyers and how many have each, in the order in which they are first seen."""
+    role = F.lower(F.trim(text("buyer_authority")))
+    counts = df.select(group, F.col(order).alias("o"), role.alias("role")).where(~F.col("role").isin("", "unknown", "none", "n/a")).groupBy(group, "role").agg(F.count("*").alias("n"), F.min("o").alias("first"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("first", "role"))).drop("first")
+
+
+def buyer_words(df: DataFrame, group: str, evidence: Column, reason: Column, order: str = "id", k: int = 3) -> DataFrame:
+    """(group, wtp_quotes, uncertainties): the first k different exact quotes that speak of paying, and the first k reasons
+    of doubt; empty lists for none."""
+    spoken = df.select(group, F.col(order).alias("o"), F.posexplode(exact_quotes(evidence)).alias("at", "quote")).where(F.col("quote").rlike("(?i)" + L.WTP_PATTERN))
+    quotes = first_distinct(spoken.select(group, F.struct("o", "at").alias("seen"), "quote"), group, "quote", "seen", k, "wtp_quotes")
+    doubts = first_distinct(df.select(group, F.col(order).alias("seen"), F.trim(reason).alias("doubt")), group, "doubt", "seen", k, "uncertainties")
+    none = F.array().cast("array<string>")
+    joined = df.select(group).distinct().join(quotes, group, "left").join(doubts, group, "left")
+    return joined.select(group, F.coalesce("wtp_quotes", none).alias("wtp_quotes"), F.coalesce("uncertainties", none).alias("uncertainties"))

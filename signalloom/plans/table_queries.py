@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import columns as C
-from ..operators import evaluation, features, graph, similarity, store, trends, usage, views
+from ..operators import evaluation, features, graph, scoring, similarity, store, trends, usage, views
 from ..sources.tables import table
 
 #: The time that windows are reckoned back from.
 AS_OF = "2026-04-21 00:00:00"
+SECONDS = 1_776_729_600
+#: A daily limit that the test data reach on some days.
+CAP = 0.002
 #: Thresholds at which the test vectors have pairs and components, none of them near it.
 PAIRS, COMPONENTS = 0.35, 0.40
 
@@ -21,9 +24,9 @@ def _signals(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def rank_signal_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 best active signals: by score, willingness to pay, pain, time."""
-    rows = views.active(_signals(spark, sf_dir, "id", "post_id", "triage_status", "opportunity_score", "willingness_to_pay", "pain_level", "source_created_ts"))
-    order = [F.col(c).desc_nulls_last() for c in ("opportunity_score", "willingness_to_pay", "pain_level", "source_created_ts")]
+    """The 50 best active signals: by score, willingness to pay, pain, times posted and stored."""
+    rows = views.active(_signals(spark, sf_dir, "id", "post_id", "triage_status", "opportunity_score", "willingness_to_pay", "pain_level", "source_created_ts", "created_at"))
+    order = [F.col(c).desc_nulls_last() for c in ("opportunity_score", "willingness_to_pay", "pain_level", "source_created_ts", "created_at")]
     return rows.orderBy(*order, "id").limit(50).select("id", "post_id", "opportunity_score")
 
 
@@ -32,14 +35,6 @@ def recent_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "subreddit")
 
 
-def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 rows of the export: favourites, then by score, willingness to pay and pain."""
-    rows = views.active(_signals(spark, sf_dir, "id", "triage_status", "opportunity_score", "willingness_to_pay", "pain_level", "niche_category"))
-    favourite = (F.col("triage_status") == "favorite").cast("int").alias("favourite")
-    order = [F.col("favourite").desc(), *(F.col(c).desc_nulls_last() for c in ("opportunity_score", "willingness_to_pay", "pain_level")), F.col("id")]
-    return rows.withColumn("favourite", favourite).orderBy(*order).limit(200).select("id", "favourite", C.escaped_cell(C.text("niche_category")).alias("niche"))
-
-
 def top_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 tools most named by active signals of the last year."""
     tags = table(spark, sf_dir, "pain_point_competitors", "post_id", "competitor_tag").distinct()
@@ -55,9 +50,10 @@ def tag_pain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unseen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of posts that aren't stored yet."""
+    """Documents of posts that weren't stored at the beginning of the year."""
     docs = table(spark, sf_dir, "documents", "doc_id", "post_id").where("post_id is not null")
-    return docs.join(_signals(spark, sf_dir, "post_id"), "post_id", "left_anti").select("doc_id", "post_id")
+    stored = _signals(spark, sf_dir, "post_id", "created_at").where("created_at < '2026-01-01'")
+    return docs.join(stored, "post_id", "left_anti").select("doc_id", "post_id")
 
 
 def latest_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +72,7 @@ def daily_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spend_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.crossings(table(spark, sf_dir, "llm_usage_events", "id", "cost_usd", "created_at"), 0.01)
+    return usage.crossings(table(spark, sf_dir, "llm_usage_events", "id", "cost_usd", "created_at"), CAP)
 
 
 def usage_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +88,8 @@ def prompt_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of counts of what shouldn't be in the usage ledger."""
     u = table(spark, sf_dir, "llm_usage_events", "id", "model", "operation", "cost_usd", "prompt_tokens", "created_at")
-    blank = lambda c: F.trim(C.text(c)) == ""
+    blank = lambda c: C.trimmed(C.text(c)) == ""
+    u = u.unionAll(u.where("id <= 6").withColumn("model", F.element_at(F.array(*map(F.lit, ("\t", " \n ", "\u00a0", "\r\n", "", "m"))), F.col("id").cast("int"))))  # rows as they shouldn't be
     return u.agg(F.count("*").alias("n"), F.count_if(blank("model")).alias("no_model"), F.count_if(blank("operation")).alias("no_operation"), F.count_if(F.col("cost_usd").isNull()).alias("no_cost"), F.count_if(F.col("prompt_tokens") < 0).alias("negative"), F.countDistinct("id").alias("events"))
 
 
@@ -121,7 +118,7 @@ def digest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.active(_signals(spark, sf_dir, "id", "source", "opportunity_bucket", "triage_status", "opportunity_score", "willingness_to_pay", "source_created_ts", "pain_level"))
     rows = rows.withColumns({"label": F.concat_ws("/", views.named("source", "unknown"), views.named("opportunity_bucket", "unknown_age")), "score": views.row_score(F.col("opportunity_score"), F.col("willingness_to_pay"))})
     order = [F.col("score").desc(), *(F.coalesce(F.col(c), F.lit(0)).desc() for c in ("source_created_ts", "willingness_to_pay", "pain_level")), F.col("id")]
-    return views.grouped_rows(rows, "label", 5, order, "score").select("label", "id", F.col("row_no").cast("long").alias("row_no"), "best_score", F.col("group_size"))
+    return views.grouped_rows(rows, "label", 5, order, "score").select("label", "id", F.col("row_no").cast("long").alias("row_no"), "best_score", "group_size", F.col("group_rank").cast("long").alias("group_rank"))
 
 
 def recurring_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,9 +149,9 @@ def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("subreddit", "canonical_key", trends.display_name(F.col("canonical_key")).alias("name"))
 
 
-def latest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest signal of each niche and source, niches by score: one row each."""
-    rows = _signals(spark, sf_dir, "id", "niche_category", "created_at", "opportunity_score").where("trim(coalesce(niche_category, '')) <> ''")
+def latest_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest signal of each niche that isn't blank."""
+    rows = _signals(spark, sf_dir, "id", "niche_category", "created_at").where("trim(coalesce(niche_category, '')) <> ''")
     last = views.latest_per_key(rows, "niche_category", [F.col("created_at").desc_nulls_last(), F.col("id").desc()])
     return last.select("niche_category", "id")
 
@@ -220,11 +217,13 @@ def tag_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals after those of the same title and source have been merged into the one of the smallest id."""
-    rows = _signals(spark, sf_dir, "id", "post_id", "title", "source", "triage_status", "cross_source_count")
+    """Signals after those of the same title and source have been merged into the one of the smallest id, twice: the
+    second time changes nothing."""
+    rows = _signals(spark, sf_dir, "id", "post_id", "title", "source", "triage_status", "cross_source_count", "cross_source_ids", "deep_dive_status", "deep_dive_summary")
     first = rows.where("title is not null").groupBy("title", "source").agg(F.min_by("post_id", "id").alias("canonical_id"), F.count("*").alias("n")).where("n > 1")
-    pairs = rows.join(first, ["title", "source"]).select("canonical_id", F.col("post_id").alias("duplicate_id"))
-    return store.merge_duplicates(rows, pairs).select("id", "triage_status", F.col("cross_source_count").cast("long").alias("cross_source_count"))
+    pairs = rows.join(first, ["title", "source"]).select("canonical_id", F.col("post_id").alias("duplicate_id")).where("canonical_id <> duplicate_id")
+    merged = store.merge_duplicates(store.merge_duplicates(rows, pairs), pairs)
+    return merged.select("id", "triage_status", F.col("cross_source_count").cast("long").alias("cross_source_count"), F.size(C.json_list("cross_source_ids")).cast("long").alias("brought"), "deep_dive_status", F.md5(C.text("deep_dive_summary")).alias("summary_hash"))
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,30 +232,71 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = features.post_text()
     rows = posts.withColumn("t", t).withColumn("category", features.keyword_category(F.col("t"))).withColumn("kind", features.post_type(F.col("t"), F.col("category")))
     rows = rows.withColumn("handness", features.first_handness(F.col("t"), F.col("kind")))
-    score = features.prescreen_score(F.col("t"), C.filled(F.col("top_comments")), F.col("handness"))
-    rows = rows.select("post_id", score.alias("score"), F.col("kind").alias("predicted_type"), F.col("handness").alias("predicted_handness"), features.buyer_authority(F.col("t")).alias("predicted_authority"))
-    labels = table(spark, sf_dir, "eval_labels", "post_id", "is_pain", "is_monetizable", "post_type", "first_handness", "buyer_authority", "feedback_useful")
-    return labels.join(rows.withColumn("predicted_pain", F.col("score") >= 2), "post_id", "left")
+    rows = rows.withColumn("score", features.prescreen_score(F.col("t"), C.filled(F.col("top_comments")), F.col("handness")))
+    strength = F.greatest(features.keyword_score(F.col("t")), F.least(F.lit(3), F.col("score")))
+    quotes = features.evidence_spans(C.text("title"), C.text("body"))
+    exact = F.size(F.filter(quotes, lambda x: F.contains(F.concat_ws("\n", "title", "body"), x) & (x != "")))
+    rows = evaluation.statuses(rows.withColumn("prescreen_score", F.col("score")), rows.where("size(top_comments) > 0"))
+    rows = rows.select(
+        "post_id", "score", "prediction_status", F.col("kind").alias("predicted_type"), F.col("handness").alias("predicted_handness"), features.buyer_authority(F.col("t")).alias("predicted_authority"), (F.col("score") >= 2).alias("predicted_pain"),
+        ((strength >= 2) & ~features.consumer_noise(F.col("t"))).alias("predicted_monetizable"), scoring.opportunity_bucket(F.col("source_created_ts"), SECONDS).alias("predicted_bucket"),
+        F.when(F.col("kind") == "founder_pitch", "founder_pitch").when(features.consumer_noise(F.col("t")), "consumer_rant").otherwise("").alias("predicted_negative"), exact.alias("predicted_exact"), F.col("t").alias("t"),
+    )
+    return evaluation.checked(table(spark, sf_dir, "eval_labels"), posts, rows)
 
 
 def eval_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.binary_metrics(_predictions(spark, sf_dir), "predicted_pain", "is_pain")
 
 
+def eval_monetizable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.binary_metrics(_predictions(spark, sf_dir), "predicted_monetizable", "is_monetizable")
+
+
 def eval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.confusion(_predictions(spark, sf_dir), "predicted_type", "post_type")
 
 
-def eval_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count("*")
-    same = lambda a, b: F.count_if(F.col(a) == F.col(b))
-    return _predictions(spark, sf_dir).agg(n.alias("n"), evaluation.rate(same("predicted_handness", "first_handness"), n).alias("handness_accuracy"), evaluation.rate(same("predicted_authority", "buyer_authority"), n).alias("authority_accuracy"))
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.report(_predictions(spark, sf_dir))
+
+
+def eval_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.status_counts(_predictions(spark, sf_dir))
+
+
+def eval_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.screened_out_pain(_predictions(spark, sf_dir))
+
+
+def cluster_usefulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.cluster_usefulness(table(spark, sf_dir, "eval_labels", "cluster_useful"))
+
+
+def _calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions with the calibration score of factors that the keyword classifier gives."""
+    rows = _predictions(spark, sf_dir).where("prediction_status is not null")
+    t = F.col("t")
+    factors = F.create_map(
+        F.lit("intensity"), features.keyword_score(t) / 3.0, F.lit("frequency"), features.workflow_frequency(t, F.col("predicted_type")), F.lit("wtp"), F.col("predicted_monetizable").cast("int") * 0.8, F.lit("buyer_authority"), C.lookup(F.col("predicted_authority"), L.AUTHORITY_SCORES, "unknown"),
+        F.lit("evidence_quality"), F.col("predicted_exact") / 3.0, F.lit("odd"), F.lit(5.0),
+    )
+    penalties = F.create_map(F.lit("stale"), F.when(F.col("predicted_bucket") == "current_opportunity", 0.0).otherwise(0.1), F.lit("negative"), F.when(F.col("predicted_negative") != "", 2.0).otherwise(0.0))
+    return rows.select("*", evaluation.calibration_score(factors, penalties).alias("calibrated"), F.col("predicted_exact").alias("exact_evidence_count"))
+
+
+def calibration_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibrated(spark, sf_dir).select("post_id", "calibrated")
 
 
 def calibration_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Useful and monetisable shares of the 50 best predictions."""
-    top = _predictions(spark, sf_dir).orderBy(F.col("score").desc_nulls_last(), "post_id").limit(50)
-    return top.agg(F.count("*").alias("n"), evaluation.rate(F.count_if("feedback_useful"), F.count("*")).alias("useful"), evaluation.rate(F.count_if("is_monetizable"), F.count("*")).alias("monetizable"))
+    """What the 25 best predictions by the calibration score are worth."""
+    return evaluation.calibration(_calibrated(spark, sf_dir), "calibrated", 25).withColumn("top_ranked_post_ids", F.array_join("top_ranked_post_ids", ","))
+
+
+def calibration_of_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of no predictions: shares of nothing are null."""
+    return evaluation.calibration(_calibrated(spark, sf_dir).where("calibrated < 0"), "calibrated", 25).drop("top_ranked_post_ids")
 
 
 def spend_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,9 +315,9 @@ def part_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    rank_signal_feed, recent_active, export_order, top_tags, tag_pain, unseen_documents, latest_feedback, feedback_summary, daily_spend, spend_crossings, usage_by_stage, prompt_cache, ledger_health, monitor_state, job_status,
-    digest_counts, digest_groups, recurring_blockers, category_report, cluster_stats, cluster_incumbents, canonical_keys, latest_clusters, competitor_radar, buyer_summary, merged_posts, similar_pairs, cross_pairs, best_matches,
-    trend_clusters, dedup_merge, signal_upsert, tag_replace, duplicate_merge, eval_binary, eval_confusion, eval_rates, calibration_top, spend_by_region, part_revenue,
+    rank_signal_feed, recent_active, top_tags, tag_pain, unseen_documents, latest_feedback, feedback_summary, daily_spend, spend_crossings, usage_by_stage, prompt_cache, ledger_health, monitor_state, job_status,
+    digest_counts, digest_groups, recurring_blockers, category_report, cluster_stats, cluster_incumbents, canonical_keys, latest_signals, competitor_radar, buyer_summary, merged_posts, similar_pairs, cross_pairs, best_matches,
+    trend_clusters, dedup_merge, signal_upsert, tag_replace, duplicate_merge, eval_binary, eval_monetizable, eval_confusion, eval_report, eval_statuses, eval_missed, cluster_usefulness, calibration_scores, calibration_top, calibration_of_none, spend_by_region, part_revenue,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -286,6 +326,7 @@ _ONCE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cr
 _NAMED = "CASE WHEN trim(coalesce({0}, '')) = '' THEN '{1}' ELSE trim({0}) END"
 _DOT = "list_dot_product(list_transform(x.embedding, lambda v: CAST(v AS DOUBLE)), list_transform(y.embedding, lambda v: CAST(v AS DOUBLE)))"
 _PAIRS = f"SELECT x.vec_id AS a, y.vec_id AS b, x.label AS la, y.label AS lb, {_DOT} AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id"
+_BLANK = r"regexp_full_match(coalesce({0}, ''), '[\s\p{{Z}}\x{{85}}]*')"
 _AUTH = "lower(trim(coalesce(buyer_authority, '')))"
 
 
@@ -294,32 +335,31 @@ def _any(t: str, terms) -> str:
 
 
 ORACLE = {
-    "rank_signal_feed": f"SELECT id, post_id, opportunity_score FROM pain_points WHERE {_ACTIVE} ORDER BY opportunity_score DESC NULLS LAST, willingness_to_pay DESC NULLS LAST, pain_level DESC NULLS LAST, source_created_ts DESC NULLS LAST, id LIMIT 50",
+    "rank_signal_feed": f"SELECT id, post_id, opportunity_score FROM pain_points WHERE {_ACTIVE} ORDER BY opportunity_score DESC NULLS LAST, willingness_to_pay DESC NULLS LAST, pain_level DESC NULLS LAST, source_created_ts DESC NULLS LAST, created_at DESC NULLS LAST, id LIMIT 50",
     "recent_active": f"SELECT id, subreddit FROM pain_points WHERE {_ACTIVE} AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY",
-    "export_order": f"""SELECT id, favourite, CASE WHEN regexp_matches(ltrim(n, ' '), '^[=+\\-@]') THEN concat('''', n) ELSE n END AS niche FROM (SELECT *, CAST(triage_status = 'favorite' AS INTEGER) AS favourite, coalesce(niche_category, '') AS n FROM pain_points WHERE {_ACTIVE}
-        ORDER BY favourite DESC, opportunity_score DESC NULLS LAST, willingness_to_pay DESC NULLS LAST, pain_level DESC NULLS LAST, id LIMIT 200)""",
     "top_tags": f"""SELECT competitor_tag, count(*) AS mentions FROM (SELECT DISTINCT post_id, competitor_tag FROM pain_point_competitors) JOIN (SELECT post_id FROM pain_points WHERE {_ACTIVE} AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY) USING (post_id)
         WHERE competitor_tag IS NOT NULL GROUP BY competitor_tag ORDER BY mentions DESC, competitor_tag LIMIT 20""",
     "tag_pain": f"""SELECT id, willingness_to_pay, pain_level FROM pain_points WHERE {_ACTIVE} AND post_id IN (SELECT post_id FROM pain_point_competitors WHERE competitor_tag = 'kanbrero')
         ORDER BY willingness_to_pay DESC NULLS LAST, pain_level DESC NULLS LAST, id LIMIT 10""",
-    "unseen_documents": "SELECT doc_id, post_id FROM documents d WHERE post_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pain_points p WHERE p.post_id = d.post_id)",
+    "unseen_documents": "SELECT doc_id, post_id FROM documents d WHERE post_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pain_points p WHERE p.post_id = d.post_id AND p.created_at < TIMESTAMP '2026-01-01')",
     "latest_feedback": f"""SELECT post_id, id, lower(trim(feedback_value)) AS value FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY created_at DESC NULLS LAST, id DESC) AS r FROM ({_ONCE.format('feedback_events')}) WHERE post_id IS NOT NULL) WHERE r = 1""",
     "feedback_summary": f"""SELECT value, coalesce(n, 0) AS n FROM (SELECT unnest([{', '.join(repr(v) for v in L.FEEDBACK)}]) AS value) LEFT JOIN (SELECT lower(trim(feedback_value)) AS value, count(*) AS n FROM ({_ONCE.format('feedback_events')}) GROUP BY 1) USING (value)""",
     "daily_spend": f"SELECT CAST(created_at AS DATE) AS day, count(*) AS calls, CAST(coalesce(sum(CAST(cost_usd AS DECIMAL(18,8))), 0) AS DOUBLE) AS spend FROM ({_ONCE.format('llm_usage_events')}) WHERE created_at IS NOT NULL GROUP BY 1",
     "spend_crossings": f"""WITH e AS (SELECT id, created_at, CAST(created_at AS DATE) AS day, CAST(cost_usd AS DECIMAL(18,8)) AS c FROM ({_ONCE.format('llm_usage_events')}) WHERE created_at IS NOT NULL AND cost_usd IS NOT NULL),
         r AS (SELECT *, sum(c) OVER (PARTITION BY day ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS s FROM e)
-        SELECT day, id, CAST(s AS DOUBLE) AS spent FROM r WHERE s >= 0.01 AND s - c < 0.01""",
+        SELECT day, id, CAST(s AS DOUBLE) AS spent FROM r WHERE s >= {CAP} AND s - c < {CAP}""",
     "usage_by_stage": f"""SELECT coalesce(candidate_stage, 'none') AS stage, operation, count(*) AS calls, CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS completion_tokens
         FROM ({_ONCE.format('llm_usage_events')}) GROUP BY 1, 2""",
     "prompt_cache": f"SELECT prompt_hash, count(*) AS calls, arg_min(id, (created_at, id)) AS first_id FROM ({_ONCE.format('llm_usage_events')}) WHERE prompt_hash IS NOT NULL GROUP BY 1",
-    "ledger_health": """SELECT count(*) AS n, count(*) FILTER (trim(coalesce(model, '')) = '') AS no_model, count(*) FILTER (trim(coalesce(operation, '')) = '') AS no_operation, count(*) FILTER (cost_usd IS NULL) AS no_cost,
-        count(*) FILTER (prompt_tokens < 0) AS negative, count(DISTINCT id) AS events FROM llm_usage_events""",
+    "ledger_health": f"""WITH u AS (SELECT id, model, operation, cost_usd, prompt_tokens FROM llm_usage_events UNION ALL SELECT id, [chr(9), concat(' ', chr(10), ' '), chr(160), concat(chr(13), chr(10)), '', 'm'][id], operation, cost_usd, prompt_tokens FROM llm_usage_events WHERE id <= 6)
+        SELECT count(*) AS n, count(*) FILTER ({_BLANK.format('model')}) AS no_model, count(*) FILTER ({_BLANK.format('operation')}) AS no_operation, count(*) FILTER (cost_usd IS NULL) AS no_cost, count(*) FILTER (prompt_tokens < 0) AS negative, count(DISTINCT id) AS events FROM u""",
     "monitor_state": f"""SELECT name, active = 1 AND (last_checked IS NULL OR (epoch(TIMESTAMP '{AS_OF}') - floor(epoch(last_checked))) / 3600 >= interval_hours) AS due, substring(coalesce(last_error, ''), 1, 1000) AS error FROM monitored_subreddits""",
     "job_status": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id",
     "digest_counts": f"SELECT {_NAMED.format('source', 'unknown')} AS source, {_NAMED.format('niche_category', 'Uncategorized')} AS niche, count(*) AS n FROM pain_points WHERE {_ACTIVE} GROUP BY 1, 2",
     "digest_groups": f"""WITH a AS (SELECT *, concat({_NAMED.format('source', 'unknown')}, '/', {_NAMED.format('opportunity_bucket', 'unknown_age')}) AS label, CASE WHEN isfinite(opportunity_score) THEN opportunity_score ELSE CAST(coalesce(willingness_to_pay, 0) AS DOUBLE) END AS score FROM pain_points WHERE {_ACTIVE}),
-        r AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY score DESC, coalesce(source_created_ts, 0) DESC, coalesce(willingness_to_pay, 0) DESC, coalesce(pain_level, 0) DESC, id) AS row_no, max(score) OVER (PARTITION BY label) AS best_score, count(*) OVER (PARTITION BY label) AS group_size FROM a)
-        SELECT * FROM r WHERE row_no <= 5""",
+        r AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY score DESC, coalesce(source_created_ts, 0) DESC, coalesce(willingness_to_pay, 0) DESC, coalesce(pain_level, 0) DESC, id) AS row_no, max(score) OVER (PARTITION BY label) AS best_score, count(*) OVER (PARTITION BY label) AS group_size FROM a),
+        g AS (SELECT label, row_number() OVER (ORDER BY best_score DESC, group_size DESC, lower(label), label) AS group_rank FROM (SELECT DISTINCT label, best_score, group_size FROM r))
+        SELECT r.*, group_rank FROM r JOIN g USING (label) WHERE row_no <= 5""",
     "recurring_blockers": "SELECT trim(deep_dive_summary) AS blocker, count(*) AS n FROM pain_points WHERE trim(coalesce(deep_dive_summary, '')) <> '' GROUP BY 1 ORDER BY n DESC, blocker LIMIT 5",
     "category_report": f"SELECT subreddit, {_NAMED.format('category', 'none')} AS category, count(*) AS n, count(*) FILTER (is_monetizable = 1) AS monetizable, avg(pain_level) AS avg_pain FROM pain_points GROUP BY 1, 2",
     "cluster_stats": """SELECT * FROM (SELECT niche_category, count(*) AS item_count, CAST(coalesce(sum(willingness_to_pay), 0) AS BIGINT) AS aggregate_wtp, count(*) FILTER (opportunity_bucket = 'current_opportunity') AS fresh_count, count(*) FILTER (opportunity_bucket = 'evergreen_pain') AS evergreen_count,
@@ -332,7 +372,7 @@ ORACLE = {
         c AS (SELECT subreddit, token, count(*) AS n FROM t WHERE length(token) >= 4 AND token NOT IN ({', '.join(repr(x) for x in L.STOPWORDS)}) AND subreddit IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY n DESC, token) AS r FROM c),
         k AS (SELECT subreddit, trim(substring(string_agg(token, '-' ORDER BY r), 1, 96), '-') AS canonical_key FROM r WHERE r <= 4 GROUP BY 1)
         SELECT subreddit, canonical_key, array_to_string(list_transform(list_filter(string_split(replace(canonical_key, '_', '-'), '-'), lambda x: x <> '')[1:6], lambda x: concat(upper(x[1]), x[2:])), ' ') AS name FROM k""",
-    "latest_clusters": "SELECT niche_category, id FROM (SELECT niche_category, id, row_number() OVER (PARTITION BY niche_category ORDER BY created_at DESC NULLS LAST, id DESC) AS r FROM pain_points WHERE trim(coalesce(niche_category, '')) <> '') WHERE r = 1",
+    "latest_signals": "SELECT niche_category, id FROM (SELECT niche_category, id, row_number() OVER (PARTITION BY niche_category ORDER BY created_at DESC NULLS LAST, id DESC) AS r FROM pain_points WHERE trim(coalesce(niche_category, '')) <> '') WHERE r = 1",
     "competitor_radar": f"""WITH p AS (SELECT DISTINCT post_id, lower(trim(competitor_tag)) AS tool FROM pain_point_competitors WHERE post_id IS NOT NULL AND lower(trim(competitor_tag)) <> ''), m AS (SELECT post_id, count(*) > 1 AS several FROM p GROUP BY 1),
         s AS (SELECT post_id, opportunity_score, several, lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''))) AS t FROM pain_points JOIN m USING (post_id))
         SELECT tool, count(*) AS mentions, {', '.join(f"count(*) FILTER ({_any('t', terms)}) AS {name}" for name, terms in L.FAILURES)}, count(*) FILTER (several) AS alternative_tool_mentions,
@@ -352,10 +392,11 @@ ORACLE = {
     "signal_upsert": """SELECT p.id, p.post_id, 'high' AS severity, CASE WHEN p.id % 2 = 0 THEN p.author_name END AS author_name, CASE WHEN p.id % 2 = 0 THEN p.triage_status ELSE 'new' END AS triage_status,
         CASE WHEN p.id % 2 = 0 AND p.deep_dive_status = 'completed' THEN 'completed' ELSE 'running' END AS deep_dive_status, p.cross_source_count FROM pain_points p""",
     "tag_replace": """SELECT DISTINCT post_id, CASE WHEN post_id LIKE 'reddit:%' THEN 'replaced' ELSE competitor_tag END AS competitor_tag FROM pain_point_competitors""",
-    "duplicate_merge": """WITH f AS (SELECT title, source, min(id) AS first, count(*) AS n FROM pain_points WHERE title IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1),
-        g AS (SELECT f.first, count(*) AS gained, bool_or(p.triage_status = 'favorite') AS fav FROM pain_points p JOIN f ON p.title = f.title AND p.source IS NOT DISTINCT FROM f.source AND p.id <> f.first GROUP BY 1),
-        d AS (SELECT p.id FROM pain_points p JOIN f ON p.title = f.title AND p.source = f.source AND p.id <> f.first)
-        SELECT p.id, CASE WHEN d.id IS NOT NULL THEN 'merged' WHEN g.fav THEN 'favorite' ELSE p.triage_status END AS triage_status, CAST(coalesce(p.cross_source_count, 1) + coalesce(g.gained, 0) AS BIGINT) AS cross_source_count
+    "duplicate_merge": """WITH f AS (SELECT title, source, min(id) AS first, count(*) AS n FROM pain_points WHERE title IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1),
+        d AS (SELECT p.*, f.first FROM pain_points p JOIN f ON p.title = f.title AND p.source = f.source AND p.id <> f.first),
+        g AS (SELECT first, count(*) AS gained, bool_or(triage_status = 'favorite') AS fav, bool_or(deep_dive_status = 'completed') AS done, arg_min(deep_dive_summary, post_id) FILTER (deep_dive_status = 'completed' AND deep_dive_summary IS NOT NULL) AS told FROM d GROUP BY 1)
+        SELECT p.id, CASE WHEN d.id IS NOT NULL THEN 'merged' WHEN g.fav THEN 'favorite' ELSE p.triage_status END AS triage_status, CAST(coalesce(p.cross_source_count, 1) + coalesce(g.gained, 0) AS BIGINT) AS cross_source_count, coalesce(g.gained, 0) AS brought,
+        CASE WHEN g.done THEN 'completed' ELSE p.deep_dive_status END AS deep_dive_status, md5(coalesce(CASE WHEN g.done AND (coalesce(p.deep_dive_status, '') <> 'completed' OR p.deep_dive_summary IS NULL) THEN coalesce(g.told, p.deep_dive_summary) ELSE p.deep_dive_summary END, '')) AS summary_hash
         FROM pain_points p LEFT JOIN g ON g.first = p.id LEFT JOIN d ON d.id = p.id""",
     "spend_by_region": """SELECT r_name, o_orderpriority, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""",
     "part_revenue": """SELECT p_brand, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity, count(*) AS lines FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY quantity DESC, p_brand LIMIT 10""",
@@ -368,14 +409,45 @@ def _with_predictions() -> None:
 
     comments = "list_filter(list_transform(coalesce(top_comments, []), lambda x: " + T._TRIM.format("x") + "), lambda x: x <> '')"
     base = T._BASE.replace(f"SELECT id, post_id, {T._POST} AS t, {T._COMMENTS} AS comments FROM pain_points", f"SELECT post_id, {T._POST} AS t, {comments} AS comments FROM eval_posts")
-    pred = f"WITH {base}, p AS (SELECT post_id, kind AS predicted_type, handness AS predicted_handness, {T._AUTHORITY} AS predicted_authority, {T._PRESCREEN} AS score FROM base), j AS (SELECT * FROM eval_labels LEFT JOIN p USING (post_id))"
+    spans = f"list_filter(list_filter(list_transform(regexp_split_to_array(w, '[\\n.!?]+'), lambda x: {T._TRIM.format('x')}), lambda x: x <> ''), lambda x: {_any('lower(x)', T._ALL_TERMS)})[1:3]"
+    noise = f"{_any('t', L.CONSUMER)} AND NOT {_any('t', L.BUSINESS)}"
+    whole = "array_to_string(list_filter([coalesce(title, ''), coalesce(body, '')], lambda x: x <> ''), chr(10))"
+    pred = f"""WITH {base}, w AS (SELECT post_id, coalesce(title, '') AS ti, len(top_comments) > 0 AS has_, {whole} AS w, concat_ws(chr(10), title, body) AS src, CASE WHEN source_created_ts > 0 THEN greatest(CAST(0 AS DOUBLE), ({SECONDS} - source_created_ts) / CAST(86400 AS DOUBLE)) END AS age FROM eval_posts),
+        sp AS (SELECT *, {spans} AS found FROM w), ex AS (SELECT post_id, has_, age, len(list_filter(CASE WHEN trim(w) = '' THEN [] WHEN len(found) > 0 THEN list_transform(found, lambda x: substring(x, 1, 160)) ELSE [substring(ti, 1, 160)] END, lambda x: x <> '' AND contains(src, x))) AS predicted_exact FROM sp),
+        q AS (SELECT post_id, t, kind AS predicted_type, handness AS predicted_handness, {T._AUTHORITY} AS predicted_authority, {T._PRESCREEN} AS score, {T._KEYWORD} AS kw, {noise} AS noise FROM base),
+        p AS (SELECT *, score >= 2 AS predicted_pain, greatest(kw, least(3, score)) >= 2 AND NOT noise AS predicted_monetizable, CASE WHEN predicted_type = 'founder_pitch' THEN 'founder_pitch' WHEN noise THEN 'consumer_rant' ELSE '' END AS predicted_negative,
+        CASE WHEN age IS NULL THEN 'unknown_age' WHEN age <= 180 THEN 'current_opportunity' ELSE 'evergreen_pain' END AS predicted_bucket, CASE WHEN score < 2 THEN 'screened_out' WHEN has_ THEN 'classified' ELSE 'no_signal' END AS prediction_status FROM q JOIN ex USING (post_id)),
+        j AS (SELECT * FROM eval_labels LEFT JOIN p USING (post_id))"""
     share = lambda a, b: f"CASE WHEN {b} = 0 THEN CAST(0 AS DOUBLE) ELSE round({a} / CAST({b} AS DOUBLE), 3) END"
-    hit = "coalesce(score >= 2, false)"
-    ORACLE["eval_binary"] = f"""{pred}, c AS (SELECT count(*) FILTER ({hit} AND is_pain) AS tp, count(*) FILTER ({hit} AND NOT is_pain) AS fp, count(*) FILTER (NOT {hit} AND is_pain) AS fn FROM j)
-        SELECT tp, fp, fn, {share('tp', '(tp + fp)')} AS precision, {share('tp', '(tp + fn)')} AS recall, {share('2 * tp', '(2 * tp + fp + fn)')} AS f1 FROM c"""
+    null_share = lambda a, b: f"CASE WHEN {b} > 0 THEN round({a} / CAST({b} AS DOUBLE), 4) END"
+    n = lambda c: f"count(*) FILTER ({c})"
+    for name, hit, real in (("eval_binary", "predicted_pain", "is_pain"), ("eval_monetizable", "predicted_monetizable", "is_monetizable")):
+        hit = f"coalesce({hit}, false)"
+        ORACLE[name] = f"""{pred}, c AS (SELECT {n(f'{hit} AND {real}')} AS tp, {n(f'{hit} AND NOT {real}')} AS fp, {n(f'NOT {hit} AND {real}')} AS fn FROM j)
+            SELECT tp, fp, fn, {share('tp', '(tp + fp)')} AS precision, {share('tp', '(tp + fn)')} AS recall, {share('2 * tp', '(2 * tp + fp + fn)')} AS f1 FROM c"""
     ORACLE["eval_confusion"] = f"{pred} SELECT post_type AS actual, predicted_type AS predicted, count(*) AS n FROM j GROUP BY 1, 2"
-    ORACLE["eval_rates"] = f"{pred} SELECT count(*) AS n, {share('count(*) FILTER (predicted_handness = first_handness)', 'count(*)')} AS handness_accuracy, {share('count(*) FILTER (predicted_authority = buyer_authority)', 'count(*)')} AS authority_accuracy FROM j"
-    ORACLE["calibration_top"] = f"{pred} SELECT count(*) AS n, {share('count(*) FILTER (feedback_useful)', 'count(*)')} AS useful, {share('count(*) FILTER (is_monetizable)', 'count(*)')} AS monetizable FROM (SELECT * FROM j ORDER BY score DESC NULLS LAST, post_id LIMIT 50)"
+    ORACLE["eval_statuses"] = f"{pred} SELECT coalesce(prediction_status, 'missing') AS prediction_status, count(*) AS n FROM j GROUP BY 1"
+    ORACLE["eval_missed"] = f"{pred} SELECT post_id FROM j WHERE is_pain AND prediction_status = 'screened_out'"
+    stale, exact = "NOT is_current_opportunity", "evidence_quality IN ('exact_quote', 'multi_quote')"
+    leaked, matched = f"{stale} AND predicted_bucket = 'current_opportunity'", f"{exact} AND predicted_exact > 0"
+    negative = "coalesce(hard_negative_type, '') <> ''"
+    wrong = f"{negative} AND (predicted_monetizable OR (predicted_pain AND predicted_negative = '') OR (predicted_negative <> '' AND predicted_negative <> hard_negative_type))"
+    missed = n("is_pain AND prediction_status = 'screened_out'")
+    ORACLE["eval_report"] = f"""{pred} SELECT count(*) AS dataset_size, {n(leaked)} AS stale_leakage_count, {n(stale)} AS stale_candidate_count, {share(n(leaked), n(stale))} AS stale_leakage_rate, {missed} AS screening_false_negative_count,
+        {n(wrong)} AS hard_negative_count, {n(negative)} AS hard_negative_candidates, {share(n(wrong), n(negative))} AS hard_negative_rate, {n(matched)} AS exact_match_count, {n(exact)} AS exact_expected_count, {share(n(matched), n(exact))} AS exact_match_rate,
+        {share(n('predicted_handness = first_handness'), 'count(*)')} AS first_handness_accuracy, {share(n('predicted_authority = buyer_authority'), 'count(*)')} AS buyer_authority_accuracy FROM j"""
+    useful = n("cluster_useful")
+    ORACLE["cluster_usefulness"] = f"SELECT count(cluster_useful) AS labeled_count, {useful} AS useful_count, count(cluster_useful) - {useful} AS not_useful_count, {share(useful, 'count(cluster_useful)')} AS useful_rate FROM eval_labels"
+    d = T._D
+    frequency = f"least({d(1)}, {d(0.32)} + CASE WHEN {_any('t', L.HIGH_FREQUENCY)} THEN {d(0.33)} ELSE {d(0)} END + CASE WHEN {_any('t', (*L.WORKAROUND, *L.FREQUENCY_CONTEXT))} THEN {d(0.2)} ELSE {d(0)} END + CASE WHEN predicted_type IN ('first_person_pain', 'solution_request', 'vendor_rant') THEN {d(0.1)} ELSE {d(0)} END)"
+    factors = f"({d(0)} + kw / {d(3)} * {d(0.18)} + {frequency} * {d(0.14)} + CAST(predicted_monetizable AS INTEGER) * {d(0.8)} * {d(0.14)} + {T._scores('predicted_authority', L.AUTHORITY_SCORES)} * {d(0.12)} + least({d(1)}, predicted_exact / {d(3)}) * {d(0.08)})"
+    lost = f"(CASE WHEN predicted_bucket = 'current_opportunity' THEN {d(0)} ELSE {d(0.1)} END + CASE WHEN predicted_negative <> '' THEN {d(1)} ELSE {d(0)} END)"
+    scored = f"{pred}, k AS (SELECT *, round(greatest({d(0)}, least({d(100)}, ({factors} - {lost}) * 100)), 4) AS calibrated FROM j WHERE prediction_status IS NOT NULL)"
+    ORACLE["calibration_scores"] = f"{scored} SELECT post_id, calibrated FROM k"
+    asked = "lower(trim(coalesce(evidence_quality, ''))) IN ('exact_quote', 'multi_quote', 'linked_multi_source')"
+    rates = f"count(*) AS n, {null_share(n('feedback_useful'), 'count(*)')} AS top_n_useful_rate, {null_share(n('is_monetizable'), 'count(*)')} AS monetizable_precision, {null_share(n(f'{asked} AND predicted_exact > 0'), n(asked))} AS evidence_exact_match_rate"
+    ORACLE["calibration_top"] = f"{scored} SELECT {rates}, string_agg(post_id, ',' ORDER BY calibrated DESC, post_id) AS top_ranked_post_ids FROM (SELECT * FROM k ORDER BY calibrated DESC, post_id LIMIT 25)"
+    ORACLE["calibration_of_none"] = f"{scored} SELECT {rates} FROM k WHERE calibrated < 0"
 
 
 _with_predictions()

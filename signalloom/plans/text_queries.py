@@ -57,7 +57,7 @@ def post_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prescreen_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts of a score of 2 or more, and how many there are at each score: ranks without a global sort."""
+    """The prescreen's score of each post, and whether it is enough."""
     scored = _posts(spark, sf_dir).select("id", features.prescreen_score(F.col("t"), F.col("comments"), F.col("handness")).alias("score"))
     return scored.withColumn("kept", F.col("score") >= 2)
 
@@ -131,7 +131,7 @@ def display_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents", "doc_id", "text")
-    return rows.select("doc_id", F.md5(F.regexp_replace(F.regexp_replace(C.text("text"), r"<[^>]*>", " "), r"[ \t\r\n]+", " ")).alias("plain_hash"))
+    return rows.select("doc_id", F.md5(C.without_markup(C.text("text"))).alias("plain_hash"))
 
 
 def tag_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +212,10 @@ ORACLE = {
         + CASE WHEN k IN ('founder_pitch', 'news_analysis') AND coalesce(first_handness, '') <> 'first_hand' THEN {_D(0.22)} WHEN k = 'advice_thread' THEN {_D(0.08)} ELSE {_D(0)} END * -10), 2) AS score FROM p""",
     "display_fields": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), e AS (SELECT doc_id, t, CASE WHEN length(t) > 80 THEN concat(rtrim(substring(t, 1, 77), ' '), '...') ELSE t END AS c FROM d)
         SELECT doc_id, CASE WHEN regexp_matches(ltrim(c, ' '), '^[=+\\-@]') THEN concat('''', c) ELSE c END AS cell, greatest(1, CAST(floor((length(t) + 3) / 4.0) AS BIGINT)) AS token_estimate, sha256(t) AS content_hash FROM e""",
-    "plain_text": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS plain_hash FROM documents""",
+    "plain_text": r"""SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) AS plain_hash FROM documents""",
+    "valid_urls": r"""WITH h AS (SELECT id, lower(regexp_extract(url, '(?i)^https?://([^/?#:@]+)(?::\d+)?(?:[/?#]|$)', 1)) AS h FROM pain_points)
+        SELECT id, coalesce(h <> '' AND CASE WHEN regexp_matches(h, '^\d+(\.\d+){0,3}$|^0x') THEN regexp_full_match(h, '\d{1,3}(\.\d{1,3}){3}') AND NOT regexp_matches(h, '^(0|10|127|169\.254|192\.168|172\.(1[6-9]|2\d|3[01])|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])|22[4-9]|2[345]\d)\.')
+        ELSE h <> 'localhost' AND NOT regexp_matches(h, '\.(local|internal|localhost)$') AND contains(h, '.') END, false) AS public FROM h""",
     "keyword_classes": f"""WITH {_BASE.replace(_COMMENTS, "[]")}, h AS (SELECT id, category, greatest({_KEYWORD}, least(3, {_PRESCREEN})) AS h, {_any('t', L.CONSUMER)} AND NOT {_any('t', L.BUSINESS)} AS noise FROM base)
         SELECT id, category, CASE WHEN h >= 2 THEN 'medium' ELSE 'low' END AS severity, h >= 2 AND NOT noise AS is_monetizable, CASE WHEN noise THEN 0 ELSE least(10, 4 + 2 * h) END AS pain_level,
         CASE WHEN h >= 2 AND NOT noise THEN least(10, 3 + 2 * h) ELSE least(3, CASE WHEN noise THEN 0 ELSE least(10, 3 + 2 * h) END) END AS willingness_to_pay, 'keyword' AS analysis_mode FROM h""",

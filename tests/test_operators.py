@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -5,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalloom.functions import columns as C
-from signalloom.functions.udfs import bag_vector, match_form
-from signalloom.operators import enrich, evidence, features, graph, similarity, store, trends, usage, views
+from signalloom.functions.udfs import bag_vector, match_form, review_id
+from signalloom.operators import answers as A
+from signalloom.operators import clusters, enrich, evaluation, evidence, features, graph, similarity, store, trends, usage, views
 
 
 def brute_components(edges):
@@ -116,7 +118,7 @@ def test_store(spark):
     assert got == {"a": ("high", "ann", "favorite", "completed", 3), "b": ("low", None, "new", "queued", 1), "c": ("high", "cy", "new", "queued", 1)}
     pairs = spark.createDataFrame([("b", "a"), ("b", "a"), ("b", "zz")], "canonical_id string, duplicate_id string")
     got = {r.post_id: (r.triage_status, r.cross_source_count) for r in store.merge_duplicates(old, pairs).collect()}
-    assert got == {"a": ("merged", 3), "b": ("favorite", 2)}
+    assert got == {"a": ("merged", 3), "b": ("favorite", 3)}  # an unknown duplicate counts too
     kids = spark.createDataFrame([("a", "x"), ("b", "y")], "post_id string, tag string")
     repl = spark.createDataFrame([("a", "z"), ("a", "z")], "post_id string, tag string")
     assert {tuple(r) for r in store.replace_children(kids, repl, "post_id").collect()} == {("a", "z"), ("b", "y")}
@@ -136,14 +138,132 @@ def test_views_on_empty_tables(spark):
 
 def test_enrichers(spark):
     posts = spark.createDataFrame([("a", "Jira is broken", "we hate it daily"), ("b", "Best xbox", None), ("c", None, None)], "post_id string, title string, body string")
-    good = '{"category": "wish", "severity": "high", "summary": "s", "is_monetizable": false, "pain_level": 4, "willingness_to_pay": 9, "competitor_tags": [" Jira ", "jira"]}'
+    good = '{"category": "wish", "severity": "high", "summary": "s", "is_monetizable": false, "pain_level": 4, "willingness_to_pay": 9, "niche_category": "n", "competitor_tags": [" Jira ", "jira"]}'
     answers = spark.createDataFrame([("a", f"```json\n{good}\n```"), ("a", "{"), ("b", good.replace("wish", "odd")), ("c", good.replace("9", "99"))], "post_id string, payload string")
     got = {r.post_id: r for r in enrich.classified(posts, answers).collect()}
-    assert (got["a"].analysis_mode, got["a"].category, got["a"].willingness_to_pay, got["a"].competitor_tags) == ("saved", "wish", 3, ["jira"])
-    assert got["b"].analysis_mode == got["c"].analysis_mode == "keyword" and got["b"].pain_level == 0 and got["c"].category == "wish"
-    plain = {r.post_id: r.analysis_mode for r in enrich.classified(posts).collect()}
-    assert set(plain.values()) == {"keyword"}
+    assert (got["a"].analysis_mode, got["a"].category, got["a"].willingness_to_pay, got["a"].competitor_tags, got["a"].fallback_reason) == ("primary", "wish", 3, ["jira"], "structured_missing")
+    assert got["b"].analysis_mode == got["c"].analysis_mode == "keyword" and got["b"].pain_level == 0 and got["c"].category == "wish" and got["b"].fallback_reason == "structured_missing,primary_missing,legacy_missing"
+    plain = {r.post_id: (r.analysis_mode, r.fallback_reason) for r in enrich.classified(posts).collect()}
+    assert set(plain.values()) == {("keyword", None)}
+    older = answers.withColumn("operation", F.lit("legacy"))
+    assert enrich.classified(posts, older, mode="b2b").where("analysis_mode <> 'keyword'").count() == 0
+    modes = {r.post_id: (r.analysis_mode, r.category, r.pain_level, r.post_type) for r in enrich.classified(posts, older, mode="legacy").collect()}
+    assert modes["a"][:2] == ("legacy", "wish") and modes["a"][2] > 4 and modes["c"] == ("legacy", "wish", 4, "advice_thread")
+    cache = spark.createDataFrame([("k", "1"), ("k", "2"), (None, "3")], "cache_key string, response_json string")
+    assert [r.response_json for r in enrich.with_cached(posts, cache, F.when(F.col("post_id") == "a", F.lit("k"))).orderBy("post_id").collect()] == ["2", None, None]
     dives = spark.createDataFrame([("a", "deep")], "post_id string, deep_dive_summary string")
     clusters = spark.createDataFrame([("a", "old", 1), ("a", "new", 2)], "post_id string, label string, created_at int")
     ctx = {r.post_id: r.context for r in enrich.with_context(posts.withColumn("summary", F.lit("sum")), dives, clusters).collect()}
     assert ctx["a"] == "Title: Jira is broken\nSummary: sum\nDeep dive: deep\nTrend: new" and ctx["c"] == "Summary: sum"
+
+
+def test_answer_contracts(spark):
+    base = {"category": "complaint", "severity": "low", "summary": " s ", "is_monetizable": False, "pain_level": 3, "willingness_to_pay": 9, "niche_category": " n ", "competitor_tags": [" Jira ", ""], "evidence_spans": ["a" * 200, " ", "b", "c", "d"]}
+    bad = [{"pain_level": True}, {"pain_level": 3.5}, {"pain_level": 11}, {"summary": " "}, {"summary": 3}, {"category": "odd"}, {"competitor_tags": [1]}, {"competitor_tags": "x"}, {"evidence_spans": None}, {"post_type": "odd"}, {"is_monetizable": 1}, {"niche_category": None}]
+    rows = [json.dumps(base), "```json\n" + json.dumps(base) + "\n```"] + [json.dumps(base | x) for x in bad] + ["{", "[]", "3", None, "", json.dumps(base) + "{}", json.dumps(base) + "," + json.dumps(base)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, p string")
+    got = [r.a for r in df.select("i", A.primary(F.col("p")).alias("a")).orderBy("i").collect()]
+    assert got[0] == got[1] and got[0].willingness_to_pay == 3 and got[0].competitor_tags == ["jira"] and got[0].post_type == "first_person_pain"
+    assert got[0].evidence_spans == ["a" * 160, "b", "c"] and got[0].summary == "s" and got[0].niche_category == "n"
+    assert got[2:] == [None] * (len(rows) - 2)
+    tolerant = [r.a for r in df.select("i", A.legacy(F.col("p")).alias("a")).orderBy("i").collect()]
+    assert [x is not None for x in tolerant[2:14]] == [True, True, True, False, False, False, True, True, True, False, True, True] and tolerant[8].competitor_tags == []
+    others = [
+        ("deep_dive", {"workarounds": ["x", " "], "competitors": [], "feature_wishlist": [], "buying_signals": [], "icp_hypothesis": "i", "actionable_summary": "a"}, [{"workarounds": None}, {"competitors": [1]}, {"icp_hypothesis": ""}]),
+        ("cluster_label", {"label": "l", "summary": "s", "estimated_monetization_signal": "high", "key_complaints": ["k"]}, [{"label": ""}, {"estimated_monetization_signal": "huge"}, {"key_complaints": "k"}]),
+        ("gtm", {"name_options": ["a", "b", "c"], "hero_h1": "h", "hero_h2": "h", "mvp_features": ["a", "b", "c"], "pricing_tier": "p", "positioning_rationale": "r"}, [{"name_options": ["a", "b"]}, {"mvp_features": ["a", "b", " "]}, {"hero_h2": None}]),
+        ("structured", {k: v for k, v in base.items() if k != "evidence_spans"}, [{"severity": "odd"}, {"willingness_to_pay": "3"}]),
+    ]
+    for name, ok, wrong in others:
+        df = spark.createDataFrame([(json.dumps(x),) for x in [ok] + [ok | w for w in wrong]], "p string")
+        assert [r[0] is not None for r in df.select(A.SHAPES[name](F.col("p"))).collect()] == [True] + [False] * len(wrong), name
+    usage_rows = spark.createDataFrame([(1, '{"usage": {"prompt_tokens": 5, "completion_tokens": -2}}'), (2, '{"usage": 3}'), (3, "{"), (4, None)], "id int, response_json string")
+    assert [tuple(r) for r in A.usage_events(usage_rows).collect()] == [(1, 5, 0)]
+    tiers = spark.createDataFrame([(None, "b"), ("a", "b"), (None, None)], "x string, y string")
+    answer, mode, reason = A.first_valid([("x", F.col("x")), ("y", F.col("y"))])
+    assert [tuple(r) for r in tiers.select(answer, mode, reason).collect()] == [("b", "y", "x_invalid"), ("a", "x", None), (None, None, "x_invalid,y_invalid")]
+
+
+def test_store_updates(spark):
+    rows = spark.createDataFrame([("a", "new", "queued", None, None, "[]", 1), ("b", "favorite", "completed", "told", None, None, None), ("c", "merged", "failed", None, "[1.0]", "[]", 1)], "post_id string, triage_status string, deep_dive_status string, deep_dive_summary string, emb_vector string, cross_source_ids string, cross_source_count long")
+    pairs = spark.createDataFrame([("a", "b", "[0.5]"), ("a", "b", "[0.5]"), ("zz", "c", "[1]"), ("a", "a", "[1]")], "canonical_id string, duplicate_id string, emb_vector string")
+    one = store.merge_duplicates(rows, pairs)
+    got = {r.post_id: tuple(r)[1:] for r in one.collect()}
+    assert got == {"a": ("favorite", "completed", "told", None, '["b"]', 2), "b": ("merged", "completed", "told", "[0.5]", None, 1), "c": ("merged", "failed", None, "[1.0]", "[]", 1)}
+    assert {r.post_id: tuple(r)[1:] for r in store.merge_duplicates(one, pairs).collect()}["a"][-1] == 2
+    say = lambda *x: spark.createDataFrame(list(x), "post_id string, triage_status string")
+    assert {r.post_id: r.triage_status for r in store.set_triage(rows, say(("a", "discarded"), ("q", "new"))).collect()} == {"a": "discarded", "b": "favorite", "c": "merged"}
+    with pytest.raises(Exception, match="unsupported triage_status"):
+        store.set_triage(rows, say(("a", "odd"))).collect()
+    dives = spark.createDataFrame([("a", "failed", None, "boom"), ("b", "completed", "new", "boom"), ("c", "running", "", None)], "post_id string, deep_dive_status string, summary string, error string")
+    assert {r.post_id: (r.deep_dive_status, r.deep_dive_summary) for r in store.set_deep_dive(rows, dives).collect()} == {"a": ("failed", "Deep dive error: boom"), "b": ("completed", "new"), "c": ("running", None)}
+    vectors = spark.createDataFrame([("a", [1.0, 0.0])], "post_id string, vector array<double>")
+    stored = store.set_vectors(rows, vectors)
+    assert {r.post_id: r.emb_vector for r in stored.collect()} == {"a": "[1.0,0.0]", "b": None, "c": "[1.0]"}
+    assert [r.post_id for r in store.without_vector(stored).collect()] == ["b"] and [r.post_id for r in store.with_vector(stored).collect()] == ["a"]
+    with pytest.raises(Exception, match="isn't finite"):
+        store.set_vectors(rows, spark.createDataFrame([("a", [float("nan")])], "post_id string, vector array<double>")).collect()
+    good, bad = store.readable_answers(spark.createDataFrame([("{}",), ("[]",), ("{",), (None,), ("{}{}",)], "response_json string"))
+    assert good.count() == 1 and bad.count() == 4
+    said = spark.createDataFrame([(" Useful ",), ("odd",)], "feedback_value string")
+    assert [r[0] for r in store.checked_feedback(said, ("useful",), strict=False).collect()] == ["useful"]
+    with pytest.raises(Exception, match="unsupported feedback_value"):
+        store.checked_feedback(said, ("useful",)).collect()
+    runs = spark.createDataFrame([("j", 1, "x" * 2000), ("j", 2, None), ("k", 1, None), ("k", 3, "y" * 2000)], "job_name string, at int, error string")
+    old = spark.createDataFrame([("j", 0, 0, "old"), ("m", 5, None, "kept")], "job_name string, last_run int, last_success int, last_error string")
+    assert {r.job_name: (r.last_run, r.last_success, r.last_error) for r in store.status_after(old, runs).collect()} == {"j": (2, 2, None), "k": (3, 1, "y" * 1000), "m": (5, None, "kept")}
+
+
+def test_cluster_run(spark, tmp_path):
+    stamp = "timestamp_ntz'2026-04-01 00:00:00'"
+    line = lambda i, t, w, s="new", b="current_opportunity": f"({i}L, 'p{i}', '{t}', 'sum', null, '[\"quickbooks\",\"Jira\"]', '{s}', {stamp}, {50 - i}.0D, {w}, 5, '{b}', 0.8D, 1700000000L)"
+    rows = [line(1, "invoice export broken again", 9), line(2, "invoice export broken", 9, "favorite", "evergreen_pain"), line(3, "quantum gardening", 1), line(4, "totally unrelated zebra topic", 9), line(5, "invoice export broken", 9, "merged")]
+    names = "id, post_id, title, summary, deep_dive_summary, competitor_tags, triage_status, created_at, opportunity_score, willingness_to_pay, pain_level, opportunity_bucket, buyer_authority_score, source_created_ts"
+    df = spark.sql(f"select * from values {', '.join(rows)} as t({names})")
+    counts, heads, members = clusters.run(df, "2026-04-21 00:00:00", 30, threshold=0.6, min_size=2)
+    assert tuple(counts.first()) == (30, 3, 1)
+    (h,) = heads.collect()
+    assert (h.item_count, h.aggregate_wtp, h.fresh_post_count, h.evergreen_post_count, h.incumbents, h.signal) == (2, 18.0, 1, 1, ["jira", "quickbooks"], "high")
+    assert h.canonical_key == "broken-export-invoice" and h.label == "Broken Export Invoice" and h.summary.startswith("2 related pain posts") and h.avg_opportunity_score == 48.5
+    near = {r.post_id: r.similarity for r in members.collect()}
+    assert set(near) == {"p1", "p2"} and all(0.5 < x <= 1 for x in near.values())
+    clusters.save(str(tmp_path / "s"), 7, "2026-04-21 00:00:00", counts, heads, members)
+    assert spark.read.parquet(str(tmp_path / "s/headers")).first().run_id == 7
+    none = clusters.run(df.limit(0), "2026-04-21 00:00:00", 30)
+    assert tuple(none[0].first()) == (30, 0, 0) and none[1].count() == none[2].count() == 0
+    labels = spark.createDataFrame([(h.cluster, "Zebra", "given", "low", ["quagga"]), (99, "Trend Detected", "s", "low", [])], "cluster long, label string, summary string, signal string, key_complaints array<string>")
+    (g,) = clusters.run(df, "2026-04-21 00:00:00", 30, threshold=0.6, min_size=2, labels=labels)[1].collect()
+    assert (g.label, g.summary, g.signal) == ("Zebra", "given", "low") and g.canonical_key.startswith("quagga-zebra")
+
+
+def test_places_and_names(spark):
+    df = spark.range(500).selectExpr("id", "id % 7 k")
+    got = {r.id: r.place for r in views.with_place(df, [F.col("k").desc(), F.col("id").asc()], "place").collect()}
+    want = sorted(range(500), key=lambda i: (-(i % 7), i))
+    assert [got[i] for i in want] == list(range(500))
+    assert views.with_place(df.limit(0), [F.col("id").asc()], "place").count() == 0
+    assert [r.id for r in views.page(df, [F.col("id").asc()], 2, 5).collect()] == [10, 11, 12, 13, 14]
+    names = spark.createDataFrame([("../a b/c",), ("",), (None,), ("..-_",), ("ok",)], "n string")
+    assert [r[0] for r in names.select(views.artifact_stem(F.col("n"))).collect()] == ["a_b_c", "scope", "scope", "scope", "ok"]
+    assert [len(r[0]) for r in spark.range(1).select(views.worksheet_name(F.lit("p"), F.lit("x" * 300))).collect()] == [100]
+
+
+def test_evaluation_checks(spark):
+    posts = spark.createDataFrame([("a",), ("b",)], "post_id string")
+    label = spark.createDataFrame([("a", 5), ("b", 5)], "post_id string, reference_now_ts long")
+    assert evaluation.checked(label, posts, posts).count() == 2
+    for bad in ((label.unionAll(label), posts), (spark.createDataFrame([("z", 5)], label.schema), posts), (spark.createDataFrame([("a", 5), ("b", 6)], label.schema), posts), (label, posts.unionAll(posts))):
+        with pytest.raises(ValueError):
+            evaluation.checked(bad[0], bad[1], posts)
+    s = spark.range(1).select(evaluation.calibration_score(F.expr("map('intensity', 2.0D, 'wtp', double('NaN'), 'other', 1.0D)"), F.expr("map('x', 0.05D, 'y', -3.0D)")).alias("s"), evaluation.calibration_score(F.lit(None).cast("map<string,double>"), F.lit(None).cast("map<string,double>")).alias("n")).first()
+    assert (s.s, s.n) == (13.0, 0.0)
+    assert evaluation.contract(label.withColumn("cluster_useful", F.lit(True)))["cluster_useful"]["useful_rate"] == 1.0
+
+
+def test_quotes_and_buyers(spark):
+    rows = spark.createDataFrame([("g", 1, "Manager", "we pay", ["We pay $5", "we PAY $5", "budget is set"], " why "), ("g", 2, "owner", None, ["paid twice", "licence fee"], "Why"), ("h", 3, None, None, [], None)], "g string, id int, buyer_authority string, body string, q array<string>, r string")
+    ev = F.transform("q", lambda x: F.struct(x.alias("quote"), F.lit("exact").alias("match_type")))
+    got = {r.g: (r.wtp_quotes, r.uncertainties) for r in trends.buyer_words(rows, "g", ev, F.col("r")).collect()}
+    assert got == {"g": (["We pay $5", "budget is set", "paid twice"], ["why"]), "h": ([], [])}
+    assert [(r.role, r.n, r.place) for r in trends.buyer_roles(rows, "g").orderBy("place").collect()] == [("manager", 1, 1), ("owner", 1, 2)]
+    assert review_id("s", "t", " HTTP://X ", 1.0, "Bad  App") == review_id("s", "t", "http://x", 1.0, "bad app") != review_id("s", "t", "http://x", 2.0, "bad app")
