@@ -10,7 +10,7 @@ from .base import cut, written
 #: Rows of the top band, about; each further one is as large as all above it together, and there are at most so many.
 TOP_BAND, MOST_BANDS = 20_000, 12
 #: The most filled groups sent to all tasks; more are joined by a shuffle.
-SMALL_SIDE = 1_000_000
+SMALL_SIDE = 250_000
 
 
 def top_per_group(df: DataFrame, group_col: str, score_col: str, id_col: str, n: int = 3, *, bands: int | None = None) -> DataFrame:
