@@ -38,6 +38,11 @@ def match_form_udf(values: pd.Series) -> pd.Series:
     return values.map(match_form)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def match_forms_udf(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda xs: None if xs is None else [match_form(x) for x in xs])
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def bag_vector_udf(values: pd.Series) -> pd.Series:
     return values.map(bag_vector)

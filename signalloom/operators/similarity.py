@@ -10,19 +10,25 @@ from pyspark.sql import functions as F
 from ..functions.columns import unit
 
 
+#: Rows of a block of similar_pairs().
+BLOCK = 2000
+
+
 def _units(df: DataFrame, id_col: str, vector_col: str, group_col: str | None) -> DataFrame:
     group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
     return df.select(F.col(id_col).cast("long").alias("id"), group.alias("g"), unit(F.col(vector_col)).alias("v")).where("id is not null and v is not null")
 
 
-def similar_pairs(df: DataFrame, id_col: str, vector_col: str, threshold: float, *, group_col: str | None = None, blocks: int = 8) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str, vector_col: str, threshold: float, *, group_col: str | None = None, blocks: int | None = None) -> DataFrame:
     """(a, b, similarity), a < b: the pairs of unit vectors whose inner product reaches the threshold; with
     group_col only of different groups.
 
     Rows are dealt into blocks by a hash of their id; every pair of blocks is one matrix product in a task of its
-    own, which gives back only what reaches the threshold.  The work is quadratic, as the exact answer asks for;
-    set `blocks` to rows / 2000 or so.  Null, empty and zero vectors, and null ids, are left out."""
-    rows = _units(df, id_col, vector_col, group_col).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    own, which gives back only what reaches the threshold.  The work is quadratic, as the exact answer asks for, but no
+    task holds more than two blocks of about BLOCK rows, of which there are as many as the rows ask for.  Null, empty and zero vectors, and null ids, are left out."""
+    units = _units(df, id_col, vector_col, group_col)
+    blocks = blocks or max(4, -(-df.count() // BLOCK))
+    rows = units.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     # block k meets every block; the cell is named by the smaller and larger one
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = cells.withColumns({"i": F.least("k", "other"), "j": F.greatest("k", "other")}).drop("other")
@@ -33,14 +39,19 @@ def similar_pairs(df: DataFrame, id_col: str, vector_col: str, threshold: float,
         empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
         if left.empty or right.empty:
             return empty
-        scores = np.stack(left.v.to_numpy()) @ np.stack(right.v.to_numpy()).T
-        x, y = np.nonzero(scores >= threshold - 1e-9)
+        u, w = np.stack(left.v.to_numpy()), np.stack(right.v.to_numpy()).T
+        found = []
+        for k in range(0, len(u), 256):  # so that the products of few rows are held at once
+            part = u[k : k + 256] @ w
+            x, y = np.nonzero(part >= threshold - 1e-9)
+            found.append((x + k, y, part[x, y]))
+        x, y, s = (np.concatenate(c) for c in zip(*found))
         a, b = left.id.to_numpy()[x], right.id.to_numpy()[y]
         keep = a < b if i == j else a != b
         if group_col:
             g, h = left.g.to_numpy()[x], right.g.to_numpy()[y]
             keep &= g != h
-        a, b, s = a[keep], b[keep], scores[x, y][keep]
+        a, b, s = a[keep], b[keep], s[keep]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s})
 
     return cells.groupBy("i", "j").applyInPandas(products, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
