@@ -25,8 +25,9 @@ def verify_quotes(df: DataFrame, quotes: str, comments: str, *, fuzzy: bool = Tr
         near = F.lit(None).cast("string")
     else:
         unsure = F.col("exact").isNull()
-        for name, value in (("fq", F.col("quote")), ("ft", F.col("title")), ("fb", F.col("body")), ("fc", F.array_join("c", " "))):
+        for name, value in (("fq", F.col("quote")), ("ft", F.col("title")), ("fb", F.col("body"))):
             rows = rows.withColumn(name, match_form_udf(F.when(unsure, value)))
+        rows = rows.withColumn("fc", match_forms_udf(F.when(unsure, F.col("c"))))
         near = F.when(F.coalesce(F.col("fq"), F.lit("")) == "", None).when(F.contains("ft", F.col("fq")), "title").when(F.contains("fb", F.col("fq")), "body").when(F.exists("fc", lambda x: F.contains(x, F.col("fq"))), "comment")
     return rows.withColumn("near", near).select(
         "post_id", "position", "quote",
