@@ -33,6 +33,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
+#: A round of greedy_merge() that decides less than this part of the nodes looks at chains.
+FEW = 8
+
+
 def _mark(edges: DataFrame) -> tuple:
     """What tells two sets of edges apart: their number and two sums of hashes, in one aggregate."""
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
@@ -54,12 +58,12 @@ def greedy_merge(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         smaller = open_edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"), F.min("a").alias("up"))
         state = checkpointed(nodes.join(smaller, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("up")).alias("up")))
-        if state.isEmpty():
+        undecided, heads = state.agg(F.count("*"), F.count_if(F.col("n") == 0)).first()
+        if not undecided:
             break
-        survivors = state.where("n = 0").select("node")
-        if state.where("n = 1").limit(1).count():
-            survivors = survivors.unionAll(_on_chains(state))
-        now = checkpointed(survivors)
+        now = state.where("n = 0").select("node")
+        if heads * FEW < undecided:  # where a round would decide few nodes, chains are what is left
+            now = checkpointed(now.unionAll(_on_chains(state)))
         kept = now if kept is None else kept.unionAll(now)
         merged = open_edges.join(now.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct()
         gone = checkpointed(now.unionAll(merged).distinct())
