@@ -1,8 +1,10 @@
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from signalloom.sources import posts, sinks, tables
+from signalloom.sources import landed, posts, sinks, tables
 from signalloom.streaming import streams
 
 
@@ -70,16 +72,71 @@ def test_streams(spark, tmp_path):
     e = spark.sql("select * from values (1L, timestamp'2024-01-01 00:00:00', 1.5D, 'u'), (1L, timestamp'2024-01-01 00:00:00', 1.5D, 'u'), (2L, timestamp'2024-01-01 00:10:00', 2D, 'u'), (3L, timestamp'2024-01-02 00:10:00', 2D, 'v') as t(id, ts, v, user)")
     e.write.parquet(str(tmp_path / "e"))
     read = lambda: streams.read_stream(spark, str(tmp_path / "e"), "ts")
-    days = {str(r.day): (r.n, r.total) for r in streams.drained(streams.daily_sums(read(), "ts", "v"), "complete").collect()}
+    days = {str(r.day): (r.n, r.total) for r in streams.updated(streams.daily_sums(read(), "ts", "v"), "day", ["n"]).collect()}
     assert days == {"2024-01-01": (3, 5.0), "2024-01-02": (1, 2.0)}
     assert sorted(r.id for r in streams.drained(streams.unique_events(read(), "id", "ts", "9 days").select("id")).collect()) == [1, 2, 3]
-    s = {(r.user, r.n) for r in streams.drained(streams.sessions(read(), "user", "ts"), "complete").collect()}
-    assert s == {("u", 3), ("v", 1)}
+    s = {(r.user, r.n) for r in streams.drained(streams.sessions(read(), "user", "ts", late="0 seconds")).collect()}
+    assert s == {("u", 3)}  # later events may still reach the last one
+    late = spark.read.parquet(str(tmp_path / "e"))
+    assert streams.lateness(late, "user", "ts") == "601 seconds" and streams.lateness(late.limit(0), "user", "ts") == "1 seconds"
     store = str(tmp_path / "store")
     streams.apply_batches(read().select("id", "v"), store, lambda old, new: old.unionByName(new).dropDuplicates(["id"]), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(store + "/v=0").count() == 3
 
 
+def test_statuses_of_a_stream(spark, tmp_path):
+    rows = spark.sql("select * from values ('a', 1, 'failed', 'x'), ('a', 2, 'done', 'left'), ('b', 5, 'failed', repeat('y', 2000)) as t(job, at, state, error)")
+    old = rows.limit(0)
+    one = streams.status_of(old, rows, "job", "at", "state")
+    assert {r.job: (r.state, r.error) for r in one.collect()} == {"a": ("done", None), "b": ("failed", "y" * 1000)}
+
+
+def test_feeds_fall_back(spark, tmp_path):
+    child = {"id": "a1", "title": " T ", "selftext": "b", "permalink": "/r/x/1", "score": "7", "created_utc": 1700000000.5, "top_comments": ["c", " "], "author": ""}
+    files = {"rich/one": json.dumps([child]), "oauth/one": "{broken", "oauth/two": "{broken", "json/two": json.dumps({"data": {"children": [{"kind": "t3", "data": child | {"id": "b2", "score": "x"}}, {"kind": "t5", "data": child}, {"data": {"id": ""}}]}}), "lines/three": json.dumps(child | {"id": "c3"}) + "\n\n", "json/four": "x" * 999}
+    for name, body in files.items():
+        at = tmp_path / f"{name}.json"
+        at.parent.mkdir(exist_ok=True)
+        at.write_text(body)
+    landed.register(spark)
+    read = lambda **o: spark.read.format("feeds").options(path=str(tmp_path), **o).load()
+    got = {r.post_id: (r.title, r.score, r.permalink, r.top_comments, r.author_name) for r in read(feeds="one,two,three,one").collect()}
+    assert got == {"reddit:a1": ("T", 7, "https://www.reddit.com/r/x/1", ["c"], None), "reddit:b2": ("T", 0, "https://www.reddit.com/r/x/1", ["c"], None), "reddit:c3": ("T", 7, "https://www.reddit.com/r/x/1", ["c"], None)}
+    with pytest.raises(Exception, match="no tier has feed four"):
+        read().collect()
+    assert read(failWhenEmpty="false").count() == 3 and read(feeds="two", tiers="oauth", failWhenEmpty="false").count() == 0
+    assert read(feeds="one", maxBytes="10", failWhenEmpty="false").count() == 0
+
+
+def test_reviews_caps_and_preview(spark):
+    rows = spark.createDataFrame([(0, "a", i, f"r{i}", 1.0) for i in range(4)] + [(1, "b", i, f"s{i}", 2.0) for i in range(4)], "target_no int, target string, position int, body string, rating double")
+    assert [(r.target, r.position) for r in landed.capped_reviews(rows, 2, 3).collect()] == [("a", 0), ("a", 1), ("b", 0)]
+    assert landed.capped_reviews(rows, 2).count() == 4
+    made = landed.review_posts(rows.withColumns({"site": F.lit("s"), "slug": F.lit("t"), "url": F.lit("u"), "score": F.lit(5)})).collect()
+    assert len({r.post_id for r in made}) == 8 and all(r.post_id.startswith("review:s:t:") and r.source == "review:s" for r in made)
+    good = spark.createDataFrame([("p",)], "post_id string")
+    bad = good.withColumn("post_id", F.raise_error(F.lit("down")))
+    assert landed.preview({"x": good})[0] == 0 and landed.preview({"x": good, "y": bad})[0] == 1 and landed.preview({"y": bad, "z": good.limit(0)})[0] == 2 and landed.preview({})[0] == 2
+    code, found = landed.preview({"x": good, "y": bad})
+    assert found["x"]["first"] == [{"post_id": "p"}] and found["y"]["count"] == 0 and "error" in found["y"]
+
+
+def test_health(spark, tmp_path):
+    df = spark.createDataFrame([("", 1), ("m", 2)], "model string, id int")
+    df.write.parquet(str(tmp_path / "t"))
+    got = landed.health(spark, {str(tmp_path / "t"): ["model"], str(tmp_path / "no"): []}, {"blank": F.col("model") == "", "negative": F.col("id") < 0}, df)
+    assert list(got.values()) == [True, False, False, True]
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    one = tables.written(spark.range(3).toDF("x"), "one")
+    assert one.count() == 3
+    at = tables.scratch_dir(spark).removeprefix("file://")
+    assert os.listdir(at)
+    tables.drop_scratch()
+    assert not os.path.exists(at)
+
+
 def test_entry_without_llm(spark):
     import __spark_entry__
 
