@@ -1,4 +1,4 @@
-"""Term lists and scores that results depend on.  Fixed values; every operator takes others in their place."""
+"""Term lists and scores that results depend on.  Fixed values."""
 
 COMPLAINT = ("can't", "cannot", "broken", "frustrated", "frustrating", "annoying", "hate", "terrible", "awful", "useless", "fail", "failing", "doesn't work", "won't work", "keeps crashing", "impossible", "so bad", "worst")
 UNSOLVED = ("how do i", "how can i", "help me", "stuck on", "can't figure", "anyone know", "is there a way", "not sure how", "struggling with")

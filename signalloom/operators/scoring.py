@@ -55,3 +55,18 @@ def opportunity_score(parts: dict[str, Column]) -> Column:
     for name, weight in WEIGHTS.items():
         total = total + parts[name] * F.lit(float(weight))
     return F.greatest(F.lit(0.0), total)
+
+
+def components(parts: dict[str, Column], *, verified: Column, exact: Column, comments: dict[str, Column], score: Column, reason: Column | None = None, cap: float = 35.0) -> Column:
+    """What a score is made of, as one struct: each part to three places (the solved penalty with the type's, as it is
+    stored), evidence and comment counts; with a reason of rejection (null for none) whether the signal may be promoted
+    and, where not, the cap of its score."""
+    r = lambda c: F.round(c.cast("double"), 3)
+    fields = {
+        "buyer_authority_score": r(parts["authority"]), "first_handness_score": r(parts["handness"]), "workflow_frequency_score": r(parts["frequency"]), "impact_score": r(parts["impact"]), "consensus_score": r(parts["consensus"]), "incumbent_failure_score": r(parts["incumbent"]),
+        "recency_score": r(parts["recency"]), "stale_penalty": r(parts["stale"]), "solved_penalty": r(parts["solved"] + parts["type"]), "evidence_score": r(parts["evidence"]), "verified_evidence_count": verified, "exact_evidence_count": exact, "type_penalty": r(parts["type"]),
+        **{f"comment_{k}": c for k, c in comments.items()}, "opportunity_score": F.round(score, 2),
+    }
+    if reason is not None:
+        fields |= {"promotion_eligible": reason.isNull(), "evidence_rejection_reason": reason, "promotion_score_cap": F.when(reason.isNotNull(), F.lit(cap)), "opportunity_score": F.round(F.when(reason.isNotNull(), F.least(F.lit(cap), score)).otherwise(score), 2)}
+    return F.struct(*(c.alias(k) for k, c in fields.items()))

@@ -178,6 +178,14 @@ def cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_pairs(rows, "vec_id", "embedding", PAIRS, group_col="label").select("a", "b")
 
 
+def vector_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product of each vector with the next one, and with one of another length, which is 0."""
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    both = rows.join(after, "vec_id")
+    return both.select("vec_id", F.round(C.dot(F.col("embedding"), F.col("other")), 4).alias("product"), C.dot(F.col("embedding"), F.slice("other", 1, 3)).alias("odd"))
+
+
 def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each vector whose id is divisible by 100, the best of another label."""
     rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
@@ -316,7 +324,7 @@ def part_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FUNCTIONS = (
     rank_signal_feed, recent_active, top_tags, tag_pain, unseen_documents, latest_feedback, feedback_summary, daily_spend, spend_crossings, usage_by_stage, prompt_cache, ledger_health, monitor_state, job_status,
-    digest_counts, digest_groups, recurring_blockers, category_report, cluster_stats, cluster_incumbents, canonical_keys, latest_signals, competitor_radar, buyer_summary, merged_posts, similar_pairs, cross_pairs, best_matches,
+    digest_counts, digest_groups, recurring_blockers, category_report, cluster_stats, cluster_incumbents, canonical_keys, latest_signals, competitor_radar, buyer_summary, merged_posts, similar_pairs, cross_pairs, vector_products, best_matches,
     trend_clusters, dedup_merge, signal_upsert, tag_replace, duplicate_merge, eval_binary, eval_monetizable, eval_confusion, eval_report, eval_statuses, eval_missed, cluster_usefulness, calibration_scores, calibration_top, calibration_of_none, spend_by_region, part_revenue,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -384,6 +392,7 @@ ORACLE = {
     "merged_posts": "SELECT post_id, count(*) AS seen, max(length(coalesce(text, ''))) AS longest, min(fetched_at) AS first_fetched, arg_min(source, (fetched_at IS NULL, coalesce(fetched_at, TIMESTAMP '2000-01-01'), doc_id)) AS first_source FROM documents WHERE post_id IS NOT NULL GROUP BY 1",
     "similar_pairs": f"SELECT a, b, round(s, 3) AS similarity FROM ({_PAIRS}) WHERE s >= {PAIRS}",
     "cross_pairs": f"SELECT a, b FROM ({_PAIRS}) WHERE s >= {PAIRS} AND la <> lb",
+    "vector_products": f"SELECT x.vec_id, round({_DOT}, 4) AS product, CAST(0 AS DOUBLE) AS odd FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1",
     "best_matches": f"""WITH p AS (SELECT x.vec_id AS id, y.vec_id AS match_id, {_DOT} AS s FROM embeddings x JOIN embeddings y ON x.label <> y.label AND x.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, match_id) AS r FROM p WHERE s >= 0.2)
         SELECT id, match_id, round(s, 3) AS similarity FROM r WHERE r = 1""",
     "trend_clusters": f"""WITH RECURSIVE p AS MATERIALIZED (SELECT a, b FROM ({_PAIRS}) WHERE s >= {COMPONENTS}), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), c(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node),

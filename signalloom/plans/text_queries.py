@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
@@ -106,22 +106,34 @@ def opportunity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", scoring.opportunity_bucket(posted, AS_OF).alias("bucket"), F.round(score, 3).alias("recency"), F.round(penalty, 3).alias("stale"))
 
 
-def opportunity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = ("id", "pain_level", "willingness_to_pay", "buyer_authority", "first_handness", "post_type", "source_created_ts", "workflow_frequency_score", "impact_score", "solved_penalty", "comment_shill_risk", "comment_consensus_count", "comment_workaround_count", "competitor_tags", "comment_tool_mentions_json", "evidence_spans_json")
+def _score_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
+    c = ("id", "pain_level", "willingness_to_pay", "buyer_authority", "first_handness", "post_type", "source_created_ts", "workflow_frequency_score", "impact_score", "solved_penalty", "comment_shill_risk", "comment_consensus_count", "comment_workaround_count", "competitor_tags", "comment_tool_mentions_json", "evidence_spans_json", "is_monetizable")
     rows = table(spark, sf_dir, "pain_points", *c)
     num = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("double")
     fresh, stale = scoring.recency(F.col("source_created_ts"), AS_OF)
     ev = scoring.evidence_score(F.size(C.json_list("evidence_spans_json")).cast("double"))
     kind = C.text("post_type")
-    parts = {
+    return rows, {
         "pain": num("pain_level") / 10, "wtp": num("willingness_to_pay") / 10, "authority": C.lookup(F.col("buyer_authority"), L.AUTHORITY_SCORES, "unknown"), "handness": C.lookup(F.col("first_handness"), L.HANDNESS_SCORES, "unknown"),
         "frequency": num("workflow_frequency_score"), "impact": num("impact_score"), "consensus": scoring.consensus_score(num("comment_consensus_count"), ev),
         "incumbent": scoring.incumbent_failure_score(F.size(C.json_list("competitor_tags")), F.size(C.json_list("comment_tool_mentions_json")), num("comment_workaround_count"), kind),
         "recency": fresh, "evidence": ev, "stale": stale, "solved": num("solved_penalty"), "shill": num("comment_shill_risk"), "type": scoring.type_penalty(kind, C.text("first_handness")),
     }
+
+
+def opportunity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, parts = _score_parts(spark, sf_dir)
     return rows.select("id", F.round(scoring.opportunity_score(parts), 2).alias("score"))
 
 
+def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each score is made of; signals that aren't monetisable may not be promoted and are capped."""
+    rows, parts = _score_parts(spark, sf_dir)
+    n = F.size(C.json_list("evidence_spans_json"))
+    made = scoring.components(parts, verified=n, exact=n, comments={"consensus_count": F.coalesce("comment_consensus_count", F.lit(0)), "shill_risk": parts["shill"]}, score=scoring.opportunity_score(parts), reason=F.when(F.coalesce("is_monetizable", F.lit(0)) != 1, "not_monetizable"))
+    return rows.select("id", made.alias("s")).select("id", "s.*")
+
+
 def display_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells, previews, token estimates and plain text of documents."""
     rows = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -173,7 +185,7 @@ def _scores(column: str, values: dict[str, float]) -> str:
     return f"CASE lower(trim({column})) " + " ".join(f"WHEN '{k}' THEN {_D(v)}" for k, v in values.items()) + f" ELSE {_D(values['unknown'])} END"
 
 
-QUERIES = {f.__name__: f for f in (keyword_scores, post_kinds, prescreen_rank, prescreen_shortlist, comment_signals, evidence_spans, text_scores, evidence_exact, evidence_verified, opportunity_buckets, opportunity_scores, display_fields, plain_text, tag_lists, valid_urls, bag_vectors, keyword_classes, text_by_source)}
+QUERIES = {f.__name__: f for f in (keyword_scores, post_kinds, prescreen_rank, prescreen_shortlist, comment_signals, evidence_spans, text_scores, evidence_exact, evidence_verified, opportunity_buckets, opportunity_scores, score_components, display_fields, plain_text, tag_lists, valid_urls, bag_vectors, keyword_classes, text_by_source)}
 
 _PRESCREEN = f"""greatest(0, least(7, {_KEYWORD} + CAST({_any('t', L.BUSINESS)} AS INTEGER) + CAST({_any('t', L.PROCESS)} AS INTEGER) + CAST({_any('t', L.HIGH_FREQUENCY)} AS INTEGER)
     + CAST({_any('t', L.COMPETITORS)} AS INTEGER) + CAST(len(comments) > 0 AS INTEGER) + CAST(handness = 'first_hand' AS INTEGER) - CAST({_any('t', L.CONSUMER)} AND NOT {_any('t', L.BUSINESS)} AS INTEGER)))"""
@@ -223,3 +235,19 @@ ORACLE = {
         SELECT id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ',') AS tags FROM t""",
     "text_by_source": "SELECT source, n, with_text, CAST(chars AS BIGINT) AS chars, row_number() OVER (ORDER BY n DESC, source) AS place FROM (SELECT source, count(*) AS n, count(text) AS with_text, coalesce(sum(length(text)), 0) AS chars FROM documents GROUP BY source)",
 }
+
+
+def _score_sql() -> str:
+    head, _, tail = ORACLE["opportunity_scores"].partition("SELECT id, round(")
+    score = tail.rpartition(", 2) AS score FROM p")[0]
+    capped = f"CASE WHEN coalesce(is_monetizable, 0) = 1 THEN {score} ELSE least({_D(35)}, {score}) END"
+    kind = f"CASE WHEN k IN ('founder_pitch', 'news_analysis') AND coalesce(first_handness, '') <> 'first_hand' THEN {_D(0.22)} WHEN k = 'advice_thread' THEN {_D(0.08)} ELSE {_D(0)} END"
+    r = lambda x: f"round({x}, 3)"
+    incumbent = f"least({_D(1)}, {_D(0.18)} + {_D(0.16)} * nt + {_D(0.05)} * nm + {_D(0.11)} * coalesce(comment_workaround_count, 0) + CASE WHEN k IN ('vendor_rant', 'tool_comparison') THEN {_D(0.14)} ELSE {_D(0)} END)"
+    return f"""{head}SELECT id, {_scores('buyer_authority', L.AUTHORITY_SCORES)} AS buyer_authority_score, {_scores('first_handness', L.HANDNESS_SCORES)} AS first_handness_score, {r('coalesce(workflow_frequency_score, 0)')} AS workflow_frequency_score, {r('coalesce(impact_score, 0)')} AS impact_score,
+        {r(f'least({_D(1)}, {_D(0.18)} + {_D(0.22)} * coalesce(comment_consensus_count, 0) + {_D(0.18)} * ev)')} AS consensus_score, {r(incumbent)} AS incumbent_failure_score, {r(f'({_RECENCY})')} AS recency_score, {r(f'({_STALE})')} AS stale_penalty, {r(f'(coalesce(solved_penalty, 0) + {kind})')} AS solved_penalty,
+        {r('ev')} AS evidence_score, CAST(len({_LIST.format('evidence_spans_json')}) AS INTEGER) AS verified_evidence_count, CAST(len({_LIST.format('evidence_spans_json')}) AS INTEGER) AS exact_evidence_count, {r(kind)} AS type_penalty, coalesce(comment_consensus_count, 0) AS comment_consensus_count, coalesce(comment_shill_risk, 0) AS comment_shill_risk,
+        coalesce(is_monetizable, 0) = 1 AS promotion_eligible, CASE WHEN coalesce(is_monetizable, 0) <> 1 THEN 'not_monetizable' END AS evidence_rejection_reason, CASE WHEN coalesce(is_monetizable, 0) <> 1 THEN {_D(35)} END AS promotion_score_cap, round({capped}, 2) AS opportunity_score FROM p"""
+
+
+ORACLE["score_components"] = _score_sql()

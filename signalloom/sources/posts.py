@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import filled, public_url, text, without_markup
+from ..functions.columns import filled, text, without_markup
 
 POST = "post_id string, subreddit string, title string, body string, url string, score long, permalink string, top_comments array<string>, source string, discovery_query string, source_created_at string, source_created_ts long, author_name string"
 LISTING = "data struct<children: array<struct<kind: string, data: struct<id: string, title: string, selftext: string, permalink: string, url: string, subreddit: string, score: string, created_utc: double, author: string>>>>"
@@ -210,8 +210,3 @@ def fetch_plan(feeds: list[str], queries: list[str], limit: int) -> list[tuple[s
     wanted = [("feed", x) for x in dict.fromkeys(f.strip() for f in feeds if f.strip())] + [("search", x) for x in dict.fromkeys(q.strip() for q in queries if q.strip())]
     each = max(1, min(100, -(-limit // max(1, len(wanted)))))
     return [(kind, name, each) for kind, name in wanted]
-
-
-def public_only(df: DataFrame, column: str = "url") -> DataFrame:
-    """Rows whose address may be fetched."""
-    return df.where(public_url(F.col(column)))
