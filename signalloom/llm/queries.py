@@ -41,17 +41,21 @@ def p3_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.find_personal(spread(table(spark, sf_dir, "pain_points", "id", *privacy.FIELDS)))
+    rows = spread(table(spark, sf_dir, "pain_points", "id", *privacy.FIELDS))
+    return privacy.find_personal(rows, model=privacy.fit_names(rows))
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.redact(spread(table(spark, sf_dir, "pain_points", "id", *privacy.FIELDS)))
+    rows = spread(table(spark, sf_dir, "pain_points", "id", *privacy.FIELDS))
+    return privacy.redact(rows, model=privacy.fit_names(rows))
 
 
 def p4_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redacted rows, and how many finds are left in them: none."""
-    made = privacy.redact(spread(table(spark, sf_dir, "pain_points", "id", *privacy.FIELDS)))
-    left = privacy.find_personal(made).agg(F.count("*").alias("n_left"))
+    rows = spread(table(spark, sf_dir, "pain_points", "id", *privacy.FIELDS))
+    model = privacy.fit_names(rows)
+    made = privacy.redact(rows, model=model)
+    left = privacy.find_personal(made, model=model).agg(F.count("*").alias("n_left"))
     return made.agg(F.count("*").alias("n_rows")).crossJoin(left)  # one row each
 
 

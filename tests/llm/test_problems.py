@@ -245,6 +245,29 @@ def test_offsets_lead_back_to_the_source():
     assert privacy.detect(long)[0][0] == 100005
 
 
+def test_names_that_no_list_has(spark):
+    r = random.Random(9)
+    listed, surnames = sorted(privacy.GIVEN_NAMES), [a + b for a in ("Thorn", "Mar", "Gal", "Fen", "Hol") for b in ("quist", "lowe", "berg", "wick", "stein")]
+    makers, things = ["Nestor", "Cargo", "Ledger", "Tally", "Quill"], ["Reports", "Exports", "Settings", "Invoices", "Tickets"]
+    texts = [f"Yesterday {r.choice(listed)} {r.choice(surnames)} fixed the {r.choice(NAMES)} export." for _ in range(150)]
+    texts += [f"We open {r.choice(makers)} {r.choice(things)} for {r.choice(NAMES)} invoices, reports and settings." for _ in range(150)]
+    df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], "id long, body string, author_name string, comment_sample_json string")
+    model = privacy.fit_names(df)
+    found = 0
+    for name in ("Katarzyna Nowak", "Ravi Subramanian", "Ngozi Okafor", "Tomas Lindqvist", "Sinead Gallagher"):
+        text = f"Yesterday {name} fixed the beta export."
+        assert privacy.detect(text) == []
+        found += privacy.redacted(text, model=model) == "Yesterday [PERSON_NAME] fixed the beta export."
+    assert found >= 4
+    for text in ("We open Nestor Ledgers for beta invoices.", "We open Grace Reports for beta invoices, reports and settings.", "Mark Settings"):
+        assert privacy.detect(text, model=model) == [], text
+    assert privacy.detect("Mark Settings") != []  # the rules alone know no common words
+    assert privacy.fit_names(df.limit(20)).probability("Yesterday Ann Lee left", 10, 17, "Ann", "Lee") < 1e-9
+    assert privacy.fit_names(df.limit(0)).common == frozenset()
+    again = df.unionAll(spark.createDataFrame([(900, "Yesterday Ngozi Okafor fixed the beta export.", None, None), (None, None, None, None)], df.schema))
+    assert {(x.id, x.pii_kind) for x in privacy.find_personal(again, model=model).where("id >= 900").collect()} == {(900, "person_name")}
+
+
 def test_redaction_of_tables(spark):
     rows = [(1, "a@b.org", "Kim", json.dumps(["c@d.org", "ok"])), (1, "a@b.org", "Kim", json.dumps(["c@d.org", "ok"])), (2, None, None, '["broken a@b.org'), (3, "", "[deleted]", "[]")]
     df = spark.createDataFrame(rows, "id long, body string, author_name string, comment_sample_json string").withColumn("field_name", F.lit(1))
