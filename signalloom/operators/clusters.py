@@ -113,9 +113,9 @@ def fallback_summary(n: Column, fresh: Column, evergreen: Column, incumbents: Co
     return F.format_string("%d related pain posts grouped into one recurring problem. Fresh=%d, evergreen=%d, incumbents=%s.", n, fresh, evergreen, F.when(first == "", "none").otherwise(first))
 
 
-def in_order(clusters: DataFrame) -> DataFrame:
+def order() -> list[Column]:
     """Clusters by mean score, latest time, size and willingness to pay, all descending; ties by key."""
-    return clusters.orderBy(F.col("avg_opportunity_score").desc_nulls_last(), F.coalesce("latest_source_created_ts", F.lit(0)).desc(), F.col("item_count").desc(), F.col("aggregate_wtp").desc(), "canonical_key")
+    return [F.col("avg_opportunity_score").desc_nulls_last(), F.coalesce("latest_source_created_ts", F.lit(0)).desc(), F.col("item_count").desc(), F.col("aggregate_wtp").desc(), F.col("canonical_key").asc()]
 
 
 def run(signals: DataFrame, as_of: str, days: int, *, min_wtp: int = 8, threshold: float = 0.72, min_size: int = 3, given: str | None = None, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import trimmed
+from ..functions.columns import filled, json_list, tags, trimmed
 
 #: What a status may be.
 TRIAGE = ("new", "favorite", "discarded", "merged")
 DEEP_DIVE = ("not_requested", "queued", "running", "completed", "failed")
+BUCKETS = ("current_opportunity", "evergreen_pain", "unknown_age")
 
 #: Columns whose stored value stays when a new one is null, and those that an update never touches.
 KEEP_OLD_IF_NULL = ("source_created_at", "source_created_ts", "author_name", "deep_dive_summary")
@@ -86,6 +87,32 @@ def _known(df: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
     return df.withColumn(column, F.when(good, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"unsupported {column}: "), F.coalesce(column, F.lit("null"))))))
 
 
+#: Numbers of a signal that must be finite.
+FINITE = ("buyer_authority_score", "workflow_frequency_score", "impact_score", "consensus_score", "incumbent_failure_score", "recency_score", "stale_penalty", "solved_penalty", "opportunity_score", "comment_shill_risk")
+
+
+def stored_form(rows: DataFrame) -> DataFrame:
+    """Signals as they are stored, of the columns that they have: unknown statuses and buckets become the default, at most
+    3 quotes of 160 and 5 comments of 240 characters stay, none blank, tags are normal, and a number that isn't finite
+    raises.  Null numbers and lists stay null."""
+    have, values = set(rows.columns), {}
+    for name, allowed, default in (("triage_status", TRIAGE, "new"), ("deep_dive_status", DEEP_DIVE, "not_requested"), ("opportunity_bucket", BUCKETS, "unknown_age")):
+        if name in have:
+            values[name] = F.when(F.col(name).isin(*allowed), F.col(name)).otherwise(default)
+    cut = lambda name, chars, most: F.slice(F.transform(filled(json_list(name)), lambda x: F.substring(x, 1, chars)), 1, most)
+    for name, chars, most in (("evidence_spans_json", 160, 3), ("comment_sample_json", 240, 5)):
+        if name in have:
+            values[name] = F.when(F.col(name).isNotNull(), F.to_json(cut(name, chars, most)))
+    for name in ("competitor_tags", "comment_tool_mentions_json"):
+        if name in have:
+            values[name] = F.when(F.col(name).isNotNull(), F.to_json(tags(json_list(name))))
+    for name in FINITE:
+        if name in have:
+            bad = F.isnan(name) | (F.abs(name) == F.lit(float("inf")))
+            values[name] = F.when(bad, F.raise_error(F.lit(f"{name} must be finite")).cast("double")).otherwise(F.col(name))
+    return rows.withColumns(values)
+
+
 def set_triage(rows: DataFrame, changes: DataFrame, key: str = "post_id") -> DataFrame:
     """Rows with the new triage_status of their key; an unknown status raises, unknown keys do nothing.
 

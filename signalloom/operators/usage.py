@@ -48,3 +48,11 @@ def feedback_counts(feedback: DataFrame) -> DataFrame:
 def usage_by_stage(usage: DataFrame) -> DataFrame:
     rows = delivered_once(usage.select("id", "candidate_stage", "operation", "prompt_tokens", "completion_tokens", "created_at"))
     return rows.groupBy(F.coalesce("candidate_stage", F.lit("none")).alias("stage"), "operation").agg(F.count("*").alias("calls"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"))
+
+
+def monitoring_summary(feeds: DataFrame, signals: DataFrame, feedback: DataFrame) -> DataFrame:
+    """One row: feeds that are watched, favourites, and known feedback, each event once."""
+    watched = feeds.agg(F.count_if(F.col("active") == 1).alias("monitored"))
+    liked = signals.agg(F.count_if(F.col("triage_status") == "favorite").alias("favorites"))
+    said = feedback_counts(feedback).agg(F.sum("n").alias("feedback_total"))
+    return watched.crossJoin(liked).crossJoin(said)  # one row each

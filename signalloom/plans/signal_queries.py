@@ -9,6 +9,7 @@ from .. import lexicons as L
 from ..functions import columns as C
 from ..operators import answers, clusters, enrich, features, graph, similarity, store, trends, usage, views
 from ..sources.tables import spread, table
+from . import analysis
 from .text_queries import _LIST, _TRIM, AS_OF
 
 #: The time that windows are reckoned back from, and thresholds at which the test data give rows.
@@ -56,7 +57,7 @@ def cluster_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of niches as clusters of three signals or more."""
     c = ("niche_category", "title", "summary", "deep_dive_summary", "willingness_to_pay", "opportunity_bucket", "buyer_authority_score", "opportunity_score", "source_created_ts", "competitor_tags")
     out = clusters.headers(_signals(spark, sf_dir, *c), "niche_category", min_size=3)
-    return out.withColumn("incumbents", F.array_join("incumbents", ","))
+    return views.with_place(out.withColumn("incumbents", F.array_join("incumbents", ",")), clusters.order(), "place")
 
 
 def cluster_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,8 +275,43 @@ def radar_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.with_place(rows, trends.radar_order(), "place").select("tool", "place")
 
 
+def stored_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals in the form in which they are stored, a part of them with odd statuses."""
+    rows = _signals(spark, sf_dir, "id", "triage_status", "opportunity_bucket", "evidence_spans_json", "comment_sample_json", "competitor_tags", "opportunity_score")
+    odd = rows.withColumns({"triage_status": F.when(F.col("id") % 3 == 0, "odd").otherwise(F.col("triage_status")), "opportunity_bucket": F.when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("opportunity_bucket"))})
+    out = store.stored_form(odd)
+    return out.select("id", "triage_status", "opportunity_bucket", F.md5(F.array_join(C.json_list("evidence_spans_json"), "|")).alias("quotes_hash"), F.md5(F.array_join(C.json_list("comment_sample_json"), "|")).alias("comments_hash"), F.array_join(C.json_list("competitor_tags"), ",").alias("tags"), "opportunity_score")
+
+
+def monitoring_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.monitoring_summary(table(spark, sf_dir, "monitored_subreddits", "active"), _signals(spark, sf_dir, "triage_status"), table(spark, sf_dir, "feedback_events", "id", "feedback_value", "created_at"))
+
+
+def online_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors after those of ids divisible by 100 came in and were merged into their best match of another label."""
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    found = similarity.best_matches(rows.where("vec_id % 100 = 0"), rows.where("vec_id % 100 <> 0"), "vec_id", "embedding", 0.2, group_col="label")
+    pairs = found.select(F.col("match_id").cast("string").alias("canonical_id"), F.col("id").cast("string").alias("duplicate_id"))
+    stored = rows.select(F.col("vec_id").cast("string").alias("post_id"), F.lit("new").alias("triage_status"), F.lit(1).cast("long").alias("cross_source_count"), F.lit("[]").alias("cross_source_ids"))
+    return store.merge_duplicates(stored, pairs).select("post_id", "triage_status", "cross_source_count")
+
+
+def analysis_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over the evaluation posts: what was kept of them, as signals."""
+    posts = table(spark, sf_dir, "eval_posts", "post_id", "subreddit", "title", "body", "url", "source", "source_created_ts", "author_name", "top_comments")
+    signals, _ = analysis.run(posts, _signals(spark, sf_dir, "post_id"), AS_OF)
+    return signals
+
+
+def analysis_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a run that keeps 50 posts, of which those with odd scores are known."""
+    posts = table(spark, sf_dir, "eval_posts", "post_id", "title", "body", "top_comments", "score", "source_created_ts")
+    _, counts = analysis.run(posts.drop("score"), posts.where("score % 2 = 1"), AS_OF, most=50)
+    return counts
+
+
 _FUNCTIONS = (
-    export_order, export_rows, export_filtered, artifact_names, macro_candidates, candidate_texts, cluster_headers, cluster_keys, member_similarity, cluster_members, clusters_latest, clusters_with_posts, clusters_of_posts, cluster_run,
+    stored_signals, monitoring_summary, online_merge, analysis_run, analysis_counts, export_order, export_rows, export_filtered, artifact_names, macro_candidates, candidate_texts, cluster_headers, cluster_keys, member_similarity, cluster_members, clusters_latest, clusters_with_posts, clusters_of_posts, cluster_run,
     digest_payload, digest_sections, signal_page, triage_update, deep_dive_update, vector_backfill, answer_cache, payload_health, job_states, run_counters, tool_quotes, buyer_roles, buyer_words, exact_quotes, thread_texts, tag_texts,
     signal_context, answer_shapes, usage_of_responses, monitored_lists, radar_places,
 )
@@ -308,7 +344,17 @@ def _first_distinct(source: str, group: str, value: str, seen: str, k: int) -> s
         FROM (SELECT {group}, lower({value}) AS low, arg_min({value}, ({seen}, {value})) AS v, min({seen}) AS o FROM {source} WHERE trim({value}) <> '' GROUP BY 1, 2)) WHERE r <= {k} GROUP BY 1)"""
 
 
+_CUT = "array_to_string(list_transform((list_filter(list_transform(" + _LIST + ", lambda x: " + _TRIM.format("x").replace("{", "{{").replace("}", "}}") + "), lambda x: x <> ''))[1:{1}], lambda x: substring(x, 1, {2})), '|')"
+_DOT = "list_dot_product(list_transform(x.embedding, lambda v: CAST(v AS DOUBLE)), list_transform(y.embedding, lambda v: CAST(v AS DOUBLE)))"
+
 ORACLE = {
+    "stored_signals": f"""WITH t AS (SELECT *, list_filter(list_transform({_LIST.format('competitor_tags')}, lambda x: substring(lower({_TRIM.format('x')}), 1, 64)), lambda x: x <> '') AS a FROM pain_points)
+        SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE triage_status END AS triage_status, CASE WHEN id % 3 = 1 THEN 'unknown_age' ELSE opportunity_bucket END AS opportunity_bucket, md5({_CUT.format('evidence_spans_json', 3, 160)}) AS quotes_hash, md5({_CUT.format('comment_sample_json', 5, 240)}) AS comments_hash,
+        array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ',') AS tags, opportunity_score FROM t""",
+    "monitoring_summary": f"""SELECT (SELECT count(*) FROM monitored_subreddits WHERE active = 1) AS monitored, (SELECT count(*) FROM pain_points WHERE triage_status = 'favorite') AS favorites,
+        (SELECT count(*) FROM ({_ONCE.format('feedback_events')}) WHERE lower(trim(feedback_value)) IN ({', '.join(repr(v) for v in L.FEEDBACK)})) AS feedback_total""",
+    "online_merge": f"""WITH p AS (SELECT x.vec_id AS id, y.vec_id AS match_id, {_DOT} AS s FROM embeddings x JOIN embeddings y ON x.label <> y.label AND x.vec_id % 100 = 0 AND y.vec_id % 100 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, match_id) AS r FROM p WHERE s >= 0.2),
+        m AS (SELECT * FROM r WHERE r = 1) SELECT CAST(vec_id AS VARCHAR) AS post_id, CASE WHEN vec_id IN (SELECT id FROM m) THEN 'merged' ELSE 'new' END AS triage_status, 1 + (SELECT count(*) FROM m WHERE match_id = vec_id) AS cross_source_count FROM embeddings""",
     "export_order": f"SELECT id, row_number() OVER (ORDER BY CASE WHEN triage_status = 'favorite' THEN 0 ELSE 1 END, opportunity_score DESC NULLS LAST, willingness_to_pay DESC NULLS LAST, pain_level DESC NULLS LAST, created_at DESC NULLS LAST, id) - 1 AS place FROM pain_points WHERE {_TAKEN}",
     "export_rows": f"""WITH p AS (SELECT *, coalesce(analysis_payload_json ->> '$.promotion_eligible', '') AS promotion_eligible, coalesce(analysis_payload_json ->> '$.evidence_rejection_reason', '') AS evidence_rejection_reason, coalesce(analysis_payload_json ->> '$.hard_negative_type', '') AS hard_negative_type FROM pain_points WHERE {_TAKEN})
         SELECT {', '.join(_CELL.format(c) for c in ('subreddit', 'source', 'post_id', 'title', 'summary', 'niche_category', 'competitor_tags', 'category', 'severity', 'promotion_eligible', 'evidence_rejection_reason', 'hard_negative_type', 'triage_status', 'deep_dive_status', 'deep_dive_summary', 'url'))},
@@ -326,7 +372,7 @@ ORACLE = {
         ti AS (SELECT niche_category, string_agg(tool, ',' ORDER BY r) AS incumbents, string_agg(tool, ', ' ORDER BY r) FILTER (r <= 3) AS named FROM tr WHERE r <= 5 GROUP BY 1),
         w AS (SELECT niche_category, token, count(*) AS n FROM (SELECT niche_category, unnest({_WORDS}) AS token FROM pain_points) WHERE length(token) >= 4 AND token NOT IN ({_STOP}) GROUP BY 1, 2), wr AS (SELECT *, row_number() OVER (PARTITION BY niche_category ORDER BY n DESC, token) AS r FROM w),
         k AS (SELECT niche_category, trim(substring(string_agg(token, '-' ORDER BY r), 1, 96), '-') AS canonical_key FROM wr WHERE r <= 4 GROUP BY 1)
-        SELECT g.*, coalesce(incumbents, '') AS incumbents, canonical_key, array_to_string(list_transform(list_filter(string_split(replace(canonical_key, '_', '-'), '-'), lambda x: x <> '')[1:6], lambda x: concat(upper(x[1]), x[2:])), ' ') AS label,
+        SELECT g.*, row_number() OVER (ORDER BY avg_opportunity_score DESC NULLS LAST, coalesce(latest_source_created_ts, 0) DESC, item_count DESC, aggregate_wtp DESC, canonical_key) - 1 AS place, coalesce(incumbents, '') AS incumbents, canonical_key, array_to_string(list_transform(list_filter(string_split(replace(canonical_key, '_', '-'), '-'), lambda x: x <> '')[1:6], lambda x: concat(upper(x[1]), x[2:])), ' ') AS label,
         concat(item_count, ' related pain posts grouped into one recurring problem. Fresh=', fresh_post_count, ', evergreen=', evergreen_post_count, ', incumbents=', coalesce(named, 'none'), '.') AS summary,
         CASE WHEN aggregate_wtp >= 7 * item_count THEN 'high' WHEN aggregate_wtp >= 4 * item_count THEN 'medium' ELSE 'low' END AS signal FROM g LEFT JOIN ti USING (niche_category) JOIN k USING (niche_category)""",
     "cluster_keys": f"""WITH p AS (SELECT coalesce(severity, '') AS c, title, summary, deep_dive_summary FROM pain_points), d AS (SELECT DISTINCT c FROM p),
@@ -394,4 +440,10 @@ def _with_prescreen() -> None:
         count(*) FILTER (triage_status = 'merged') AS merged, count(*) FILTER (starts_with(analysis_mode, 'legacy')) AS legacy, count(*) FILTER (suffix(analysis_mode, 'b2b')) AS b2b FROM pain_points JOIN s USING (id)"""
 
 
+    comments = "list_filter(list_transform(coalesce(top_comments, []), lambda x: " + T._TRIM.format("x") + "), lambda x: x <> '')"
+    base = T._BASE.replace(f"SELECT id, post_id, {T._POST} AS t, {T._COMMENTS} AS comments FROM pain_points", f"SELECT post_id, {T._POST} AS t, {comments} AS comments FROM eval_posts WHERE score % 2 <> 1")
+    ORACLE["analysis_counts"] = f"""WITH {base}, s AS (SELECT {T._PRESCREEN} AS score FROM base), c AS (SELECT count(*) FILTER (score < 2) AS dropped, count(*) FILTER (score >= 2) AS good FROM s)
+        SELECT dropped, good - greatest(0, good - 50) AS kept, greatest(0, good - 50) AS capped, (SELECT count(*) FROM eval_posts WHERE score % 2 = 1) AS known FROM c"""
+
+
 _with_prescreen()

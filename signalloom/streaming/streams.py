@@ -100,8 +100,13 @@ def drained(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def updated(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key that a stream in update mode gives on what is there now, from a table kept batch by batch."""
+def kept(stream: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """The table that apply_batches() makes of what is there now."""
     at = f"{scratch_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    apply_batches(stream, f"{at}/store", lambda old, new: newest(old, new, key, order), f"{at}/checkpoint", mode="update").awaitTermination()
+    apply_batches(stream, f"{at}/store", merge, f"{at}/checkpoint", mode=mode).awaitTermination()
     return current(stream.sparkSession, f"{at}/store")
+
+
+def updated(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The last row of each key that a stream in update mode gives on what is there now."""
+    return kept(stream, lambda old, new: newest(old, new, key, order), "update")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from signalloom.functions import columns as C
 from signalloom.functions.udfs import bag_vector, match_form, review_id
 from signalloom.operators import answers as A
+from signalloom.plans import analysis
 from signalloom.operators import clusters, enrich, evaluation, evidence, features, graph, similarity, store, trends, usage, views
 
 
@@ -269,3 +270,24 @@ def test_quotes_and_buyers(spark):
     assert got == {"g": (["We pay $5", "budget is set", "paid twice"], ["why"]), "h": ([], [])}
     assert [(r.role, r.n, r.place) for r in trends.buyer_roles(rows, "g").orderBy("place").collect()] == [("manager", 1, 1), ("owner", 1, 2)]
     assert review_id("s", "t", " HTTP://X ", 1.0, "Bad  App") == review_id("s", "t", "http://x", 1.0, "bad app") != review_id("s", "t", "http://x", 2.0, "bad app")
+
+
+def test_a_run_from_end_to_end(spark):
+    posts = spark.createDataFrame([("a", "Jira export is broken", "We hate the manual csv export daily. We would pay.", ["same here", "book a demo http://x.y"], 1776000000), ("b", "Nothing", None, [], None), ("c", "Jira sync fails", "my team is stuck", None, 1700000000), ("k", "Jira broken", "known", [], 1)], "post_id string, title string, body string, top_comments array<string>, source_created_ts long")
+    posts = posts.withColumns({"source": F.lit("reddit"), "top_comments": F.coalesce("top_comments", F.array().cast("array<string>"))})
+    signals, counts = analysis.run(posts, posts.where("post_id = 'k'").select("post_id"), 1776729600)
+    assert counts.first().asDict() == {"dropped": 1, "kept": 2, "capped": 0, "known": 1}
+    got = {r.post_id: r for r in signals.collect()}
+    assert set(got) == {"a", "c"} and got["a"].analysis_mode == "keyword" and got["a"].opportunity_bucket == "current_opportunity" and got["c"].opportunity_bucket == "evergreen_pain"
+    made = json.loads(got["a"].score_components_json)
+    assert made["opportunity_score"] == got["a"].opportunity_score > 0 and made["verified_evidence_count"] == made["exact_evidence_count"] == len(json.loads(got["a"].evidence_spans_json)) > 0 and made["comment_same_here_count"] == 1
+    assert analysis.run(posts, posts.limit(0).select("post_id"), 1776729600, most=1)[1].first().asDict() == {"dropped": 1, "kept": 1, "capped": 2, "known": 0}
+    assert analysis.run(posts.limit(0), posts.select("post_id"), 1776729600)[0].count() == 0
+
+
+def test_stored_form(spark):
+    rows = spark.createDataFrame([(1, "odd", None, json.dumps(["x" * 200, " ", "b", "c", "d"]), '["A", "a", "B "]', 1.0), (2, "new", "evergreen_pain", None, None, None)], "id int, triage_status string, opportunity_bucket string, evidence_spans_json string, competitor_tags string, opportunity_score double")
+    got = {r.id: tuple(r)[1:] for r in store.stored_form(rows).collect()}
+    assert got == {1: ("new", "unknown_age", json.dumps(["x" * 160, "b", "c"], separators=(",", ":")), '["a","b"]', 1.0), 2: ("new", "evergreen_pain", None, None, None)}
+    with pytest.raises(Exception, match="opportunity_score must be finite"):
+        store.stored_form(rows.withColumn("opportunity_score", F.lit(float("inf")))).collect()

@@ -57,6 +57,15 @@ def test_files(spark, tmp_path):
     assert '"d":null' in "".join(x.read_text() for x in (tmp_path / "json").glob("*.json"))
 
 
+def test_reports(spark, tmp_path):
+    at = str(tmp_path / "r.json")
+    for n in (1, 2):
+        sinks.write_report(spark, {"b": [1.5, None], "a": n}, at)
+    assert json.loads(open(at).read()) == {"a": 2, "b": [1.5, None]} and not os.path.exists(at + ".tmp")
+    with pytest.raises(ValueError, match="finite"):
+        sinks.write_report(spark, {"a": [float("nan")]}, at)
+
+
 def test_comments_plan_and_schema(spark):
     p = spark.createDataFrame([("1",), ("2",)], "post_id string")
     c = spark.createDataFrame([("1", 5, "x"), ("1", 9, "y"), ("1", 5, "a")], "post_id string, score int, body string")
