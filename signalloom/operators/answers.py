@@ -5,6 +5,7 @@ All checks are column expressions over a parsed variant, so nothing leaves the J
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,12 +35,9 @@ def _all(conditions: list[Column]) -> Column:
 class _Parsed:
     """Members of a payload with their JSON kind."""
 
-    def __init__(self, payload: Column):
-        # within brackets, as the parser passes over what follows a whole value; a second value is told by its place
-        listed = F.try_parse_json(F.concat(F.lit("["), unfenced(payload), F.lit("]")))
-        alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
-        self.v = F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
-        self.is_object = F.schema_of_variant(self.v).startswith("OBJECT")
+    def __init__(self, v: Column):
+        self.v = v
+        self.is_object = F.schema_of_variant(v).startswith("OBJECT")
 
     def _kind(self, name: str) -> Column:
         return F.schema_of_variant(F.try_variant_get(self.v, f"$.{name}", "variant"))
@@ -62,6 +60,15 @@ class _Parsed:
         return F.when(self._kind(name).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get(self.v, f"$.{name}", "array<string>"))
 
 
+def _once(payload: Column, build: Callable[[_Parsed], Column]) -> Column:
+    """What build() makes of a payload that is parsed once, however often its members are asked for."""
+    # within brackets, as the parser passes over what follows a whole value; a second value is told by its place
+    listed = F.try_parse_json(F.concat(F.lit("["), unfenced(payload), F.lit("]")))
+    alone = lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))
+    first = F.transform(F.array(listed), alone)
+    return F.get(F.transform(first, lambda v: build(_Parsed(v))), F.lit(0))
+
+
 def _filled(items: Column) -> Column:
     return F.filter(F.transform(items, trimmed), lambda x: x != "")
 
@@ -94,9 +101,8 @@ def _shaped(fields: dict[str, Column], conditions: list[Column]) -> Column:
     return F.when(_all(conditions), F.struct(*(c.alias(name) for name, c in fields.items())))
 
 
-def primary(payload: Column) -> Column:
+def _primary(p: _Parsed) -> Column:
     """A classification of twelve fields; willingness to pay is at most 3 where the post isn't monetisable."""
-    p = _Parsed(payload)
     fields, good = _common(p)
     money, pain, wtp = p.flag("is_monetizable"), p.whole("pain_level"), p.whole("willingness_to_pay")
     items = lambda name: F.when(p.has(name), _kept(p.texts(name))).otherwise(F.array().cast("array<string>"))
@@ -108,41 +114,36 @@ def primary(payload: Column) -> Column:
     return _shaped(fields, [*good, money.isNotNull(), pain.between(0, 10), wtp.between(0, 10), niche.isNotNull(), tools.isNotNull(), spans.isNotNull()])
 
 
-def legacy(payload: Column) -> Column:
+def _legacy(p: _Parsed) -> Column:
     """The older classification: lists that break the contract count as empty."""
-    p = _Parsed(payload)
     fields, good = _common(p)
     items = lambda name: F.coalesce(_kept(p.texts(name)), F.array().cast("array<string>"))
     return _shaped(fields | {"competitor_tags": F.transform(_filled(items("competitor_tags")), F.lower), "evidence_spans": _spans(items("evidence_spans"))}, good)
 
 
-def deep_dive(payload: Column) -> Column:
+def _deep_dive(p: _Parsed) -> Column:
     """Four lists of texts, which may be empty, and two texts."""
-    p = _Parsed(payload)
     lists = {name: _kept(p.texts(name)) for name in ("workarounds", "competitors", "feature_wishlist", "buying_signals")}
     words = {name: p.text(name) for name in ("icp_hypothesis", "actionable_summary")}
     return _shaped({k: _filled(c) for k, c in lists.items()} | {k: trimmed(c) for k, c in words.items()}, [p.is_object, *(c.isNotNull() for c in lists.values()), *(_not_blank(c) for c in words.values())])
 
 
-def cluster_label(payload: Column) -> Column:
+def _cluster_label(p: _Parsed) -> Column:
     """A cluster's label, summary, monetisation signal and key complaints."""
-    p = _Parsed(payload)
     label, summary, signal, told = p.text("label"), p.text("summary"), p.text("estimated_monetization_signal"), _kept(p.texts("key_complaints"))
     return _shaped({"label": trimmed(label), "summary": trimmed(summary), "signal": signal, "key_complaints": _filled(told)}, [p.is_object, _not_blank(label), _not_blank(summary), signal.isin(*LEVELS), told.isNotNull()])
 
 
-def gtm(payload: Column) -> Column:
+def _gtm(p: _Parsed) -> Column:
     """Three names, two headings, three features, a price tier and a rationale, none blank."""
-    p = _Parsed(payload)
     three = lambda c: (F.size(c) == 3) & F.forall(c, lambda x: F.coalesce(_not_blank(x), F.lit(False)))
     names, features = p.texts("name_options"), p.texts("mvp_features")
     words = {name: p.text(name) for name in ("hero_h1", "hero_h2", "pricing_tier", "positioning_rationale")}
     return _shaped({"name_options": F.transform(names, trimmed), "mvp_features": F.transform(features, trimmed)} | {k: trimmed(c) for k, c in words.items()}, [p.is_object, three(names), three(features), *(_not_blank(c) for c in words.values())])
 
 
-def structured(payload: Column) -> Column:
-    """The structured parser's classification: primary()'s bounds without the kinds of post, hand and buyer."""
-    p = _Parsed(payload)
+def _structured(p: _Parsed) -> Column:
+    """The structured parser's classification: the primary one's bounds without the kinds of post, hand and buyer."""
     money, pain, wtp = p.flag("is_monetizable"), p.whole("pain_level"), p.whole("willingness_to_pay")
     category, severity, summary, niche = p.text("category"), p.text("severity"), p.text("summary"), p.text("niche_category")
     tools = F.when(p.has("competitor_tags"), _kept(p.texts("competitor_tags"))).otherwise(F.array().cast("array<string>"))
@@ -150,6 +151,15 @@ def structured(payload: Column) -> Column:
     return _shaped(fields, [p.is_object, category.isin(*CATEGORIES), severity.isin(*LEVELS), _not_blank(summary), money.isNotNull(), pain.between(0, 10), wtp.between(0, 10), niche.isNotNull(), tools.isNotNull()])
 
 
+def _shape(build: Callable[[_Parsed], Column]) -> Callable[[Column], Column]:
+    def shape(payload: Column) -> Column:
+        return _once(payload, build)
+
+    shape.__doc__ = build.__doc__
+    return shape
+
+
+primary, legacy, deep_dive, cluster_label, gtm, structured = map(_shape, (_primary, _legacy, _deep_dive, _cluster_label, _gtm, _structured))
 #: Operation to the contract of its answer.
 SHAPES = {"primary": primary, "legacy": legacy, "deep_dive": deep_dive, "cluster_label": cluster_label, "gtm": gtm, "structured": structured}
 

@@ -75,12 +75,14 @@ def statuses(posts: DataFrame, signals: DataFrame, minimum: int = 2) -> DataFram
 def checked(labels: DataFrame, posts: DataFrame, predictions: DataFrame) -> DataFrame:
     """Labels with their predictions, null for none; raises for repeated ids, and for labels without a post or of several
     reference times.  The checks are counts, combined before any shuffle."""
-    for name, df in (("posts", posts), ("labels", labels), ("predictions", predictions)):
-        if not (twice := df.where("post_id is not null").groupBy("post_id").agg(F.count("*").alias("n")).where("n > 1").limit(1)).isEmpty():
-            raise ValueError(f"duplicate post_id in {name}: {twice.first().post_id}")
-    if not (lost := labels.join(posts.select("post_id"), "post_id", "left_anti").limit(1)).isEmpty():
-        raise ValueError(f"label references unknown post_id: {lost.first().post_id}")
-    if labels.agg(F.countDistinct("reference_now_ts")).first()[0] > 1:
+    named = [df.where("post_id is not null").select(F.lit(name).alias("what"), "post_id") for name, df in (("posts", posts), ("labels", labels), ("predictions", predictions))]
+    if twice := named[0].unionAll(named[1]).unionAll(named[2]).groupBy("what", "post_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect():
+        raise ValueError(f"duplicate post_id in {twice[0].what}: {twice[0].post_id}")
+    seen = labels.join(posts.select("post_id", F.lit(True).alias("known_")), "post_id", "left")
+    lost, times = seen.agg(F.min(F.when(F.col("known_").isNull(), F.col("post_id"))), F.countDistinct("reference_now_ts")).first()
+    if lost is not None:
+        raise ValueError(f"label references unknown post_id: {lost}")
+    if times > 1:
         raise ValueError("labels have several reference times")
     return labels.join(predictions, "post_id", "left")
 
