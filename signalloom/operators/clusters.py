@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 from ..functions.columns import json_list, tags, text, trimmed, unit
 from ..functions.udfs import bag_vector_udf
+from ..sources.tables import beside
 from . import graph, similarity, trends, views
 
 
@@ -129,7 +130,8 @@ def run(signals: DataFrame, as_of: str, days: int, *, min_wtp: int = 8, threshol
     joined = graph.checkpointed(joined.withColumn("v_", vectors(joined, given)))
     header = headers(joined, "cluster", labels)
     near = member_similarity(joined, "cluster", "post_id", "v_").select("cluster", "post_id", F.round("similarity", 4).alias("similarity"))
-    counts = rows.agg(F.lit(max(1, days)).alias("window_days"), F.count("*").alias("candidate_count")).crossJoin(sizes.agg(F.count("*").alias("cluster_count")))  # two rows of one
+    counts = rows.agg(F.lit(max(1, days)).alias("window_days"), F.count("*").alias("candidate_count"))
+    counts = beside(counts, sizes.agg(F.count("*").alias("cluster_count")))
     return counts, header, near
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
+from ..sources.tables import beside
 from .views import once
 
 
@@ -55,4 +56,4 @@ def monitoring_summary(feeds: DataFrame, signals: DataFrame, feedback: DataFrame
     watched = feeds.agg(F.count_if(F.col("active") == 1).alias("monitored"))
     liked = signals.agg(F.count_if(F.col("triage_status") == "favorite").alias("favorites"))
     said = feedback_counts(feedback).agg(F.sum("n").alias("feedback_total"))
-    return watched.crossJoin(liked).crossJoin(said)  # one row each
+    return beside(watched, liked, said)

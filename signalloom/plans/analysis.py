@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 from ..functions import columns as C
 from ..operators import enrich, evidence, features, scoring, store
+from ..sources.tables import beside
 
 
 def screened(posts: DataFrame, minimum: int = 2, most: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -58,4 +59,4 @@ def run(posts: DataFrame, stored: DataFrame, as_of: int, *, minimum: int = 2, mo
     kept, counts = screened(fresh, minimum, most)
     signals = analysed(kept.drop("score"), as_of, answers)
     known = posts.join(stored.select("post_id"), "post_id", "left_semi").agg(F.count("*").alias("known"))
-    return signals, counts.crossJoin(known)  # one row each
+    return signals, beside(counts, known)

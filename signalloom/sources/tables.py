@@ -25,6 +25,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """The columns of frames of one row each in one row."""
+    columns = [c for df in rows for c in df.columns]
+    whole = rows[0]
+    for df in rows[1:]:
+        whole = whole.unionByName(df, allowMissingColumns=True)
+    return whole.agg(*(F.max(c).alias(c) for c in columns))
+
+
 def ensure_schema(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
     """With every column of the schema: missing ones are added with their default (or null), present ones are cast
     where a value allows it, further ones stay."""
