@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import canonical, encoding, leakage, near_duplicates, privacy, splitting, top_items, truncation
+from ..sources.tables import beside
 from .base import spread, table
 
 
@@ -37,7 +38,7 @@ def p3_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in the one form, and how many of their values p3's detector still finds: none."""
     made = canonical.canonical_rows(spread(table(spark, sf_dir, "pain_points", "id", "body", "evidence_spans_json")))
     left = canonical.deviating_values(made).agg(F.count("*").alias("n_left"))
-    return made.agg(F.count("*").alias("n_rows")).crossJoin(left)  # one row each
+    return beside(made.agg(F.count("*").alias("n_rows")), left)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def p4_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = privacy.fit_names(rows)
     made = privacy.redact(rows, model=model)
     left = privacy.find_personal(made, model=model).agg(F.count("*").alias("n_left"))
-    return made.agg(F.count("*").alias("n_rows")).crossJoin(left)  # one row each
+    return beside(made.agg(F.count("*").alias("n_rows")), left)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,7 @@ def p5_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = found.groups().select("id", "group_id")
     one, two = (groups.select(F.col("id").alias(f"id_{x}"), F.col("group_id").alias(f"g{x}")) for x in "ab")
     apart = found.pairs().join(one, "id_a", "left").join(two, "id_b", "left").agg(F.count_if(~F.coalesce(F.col("ga") == F.col("gb"), F.lit(False))).alias("n_apart"))
-    return groups.agg(F.count("*").alias("n_texts")).crossJoin(apart)  # one row each
+    return beside(groups.agg(F.count("*").alias("n_texts")), apart)
 
 
 def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
