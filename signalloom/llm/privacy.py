@@ -6,9 +6,11 @@ import json
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .base import cut, per_batch
 from .canonical import LOOKALIKES
-from .names import COMMON, KEPT, LEAST, SAMPLE, NameModel, common_words, features, fit, frequent, number
+from .names import AROUND, ALIKE, BITS, COMMON, FEWEST, LEAST, TEXTS, NameModel, common_features, fit, in_lower_case, number, plain_features, slopes, uses, words
 
 #: The kinds, in order of precedence, and what stands in their place.
 PLACEHOLDERS = {"email": "[EMAIL]", "id_number": "[ID_NUMBER]", "phone": "[PHONE]", "street_address": "[STREET_ADDRESS]", "person_name": "[PERSON_NAME]"}
@@ -308,37 +310,95 @@ def _narrow(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("string").alias(f"f{k}") for k, c in enumerate(fields)))
 
 
-def fit_names(df: DataFrame, text_col: str = "body", sample: int = SAMPLE) -> NameModel:
-    """The model of names, fitted on at most `sample` distinct texts of the column, those of the smallest hashes.
+#: Different words and pairs that a task holds before it passes their counts on, and different pairs up to which they are
+#: fitted in the driver.
+HELD, SMALL = 100_000, 200_000
+_int = np.dtype("<i4")
 
-    The rules label the pairs of capitalised words in them; titles, cues and listed given names are the names.  Only
-    hashes, word counts and numbers of features reach the driver.  Null texts don't count."""
-    texts = df.select(F.col(text_col).cast("string").alias("t")).where("t is not null").withColumn("h", F.xxhash64("t"))
-    few = texts.select("h").distinct().orderBy("h").limit(sample)
-    texts = cut(texts.join(F.broadcast(few), "h", "left_semi").dropDuplicates(["h"]).repartition(8))  # of at most `sample` rows
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = common_words([normalised(t)[0] for t in batch.column("t").to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace").decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
+def _pair_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the features, whether it is a name, how often it occurs) of the pairs in a batch."""
+    numbers = np.frombuffer(b"".join(batch.column("numbers").to_pylist()), _int).reshape(-1, AROUND + ALIKE)
+    return numbers, batch.column("name").to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
 
-    counted = texts.select("t").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    common = frequent({r.w: r.n for r in counted.orderBy(F.col("n").desc(), "w").limit(KEPT).collect()})
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fit_names(df: DataFrame, text_col: str = "body") -> NameModel:
+    """The model of names, fitted on all distinct texts of the column.
+
+    The rules label the pairs of capitalised words in them; titles, cues and listed given names are the names.  Pairs with
+    the same features are counted together.  The common words, which the model has, reach the driver, and up to SMALL
+    different pairs as numbers; with more pairs each step of the fit is a sum over all of them in tasks, with the same
+    result.  Null texts don't count."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = df.select(F.col(text_col).cast("string").alias("t")).where("t is not null").repartition(parts, "t").distinct()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, seen, pairs = 0, Counter(), Counter()
+
+        def held() -> pa.RecordBatch:
+            lower = {w: n for w, n in seen.items() if in_lower_case(w)} | {"": texts}
+            columns = list(zip(*pairs)) or [()] * 6
+            kinds = pa.string(), pa.string(), pa.binary(), pa.bool_(), pa.bool_(), pa.bool_()
+            arrays = [pa.array([*lower, *[None] * len(pairs)], pa.string()), *(pa.array([*[None] * len(lower), *c], kind) for c, kind in zip(columns, kinds)), pa.array([*lower.values(), *pairs.values()], pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, ["w", "first", "last", "numbers", "opens", "cued", "listed", "n"])
+
         for batch in batches:
-            rows = []
-            for h, t in zip(batch.column("h").to_pylist(), batch.column("t").to_pylist()):
+            for t in batch.column("t").to_pylist():
                 s, _ = normalised(t)
-                for k, (a, b, first, last, cued, listed) in enumerate(_pairs(s)):
-                    around, alike = features(s, a, b, first, last, common)
-                    rows.append((h, k, [*map(number, around)], [*map(number, alike)], cued or listed and last.lower() not in common))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_()
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], ["h", "k", "around", "alike", "name"])
-
-    found = texts.mapInArrow(label, "h long, k int, around array<int>, alike array<int>, name boolean").collect()
-    return fit([(r.around, r.alike, r.name) for r in sorted(found, key=lambda r: (r.h, r.k))], common)
+                texts += 1
+                seen.update(words(s))
+                for a, b, first, last, cued, listed in _pairs(s):
+                    around, alike, opens = plain_features(s, a, b, first, last)
+                    pairs[first.lower(), last.lower(), np.array([*map(number, around), *map(number, alike)], _int).tobytes(), opens, cued, listed] += 1
+                if len(seen) + len(pairs) > HELD:
+                    yield held()
+                    texts, seen, pairs = 0, Counter(), Counter()
+        yield held()
+
+    counts = cut(texts.mapInArrow(scan, "w string, first string, last string, numbers binary, opens boolean, cued boolean, listed boolean, n long"))
+    total = counts.where("w = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seen = counts.where("w != ''").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(COMMON, COMMON * total / TEXTS))
+    common = frozenset(r.w for r in seen.collect())
+    sent = spark.sparkContext.broadcast(common)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, last, numbers, opens, cued, listed = (batch.column(c).to_pylist() for c in ("first", "last", "numbers", "opens", "cued", "listed"))
+            more = [np.array([number(f) for f in common_features(a, b, o, sent.value)], _int).tobytes() for a, b, o in zip(first, last, opens)]
+            name = [c or x and b not in sent.value for c, x, b in zip(cued, listed, last)]
+            yield pa.RecordBatch.from_arrays([pa.array([a + b for a, b in zip(numbers, more)], pa.binary()), pa.array(name, pa.bool_()), batch.column("n")], ["numbers", "name", "n"])
+
+    schema = "numbers binary, name boolean, n long"
+    pairs = cut(counts.where("w is null").drop("w").mapInArrow(label, schema).groupBy("numbers", "name").agg(F.sum("n").alias("n")))
+    kinds = {r.name: r for r in pairs.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
+    if any(k not in kinds or kinds[k].n < FEWEST for k in (True, False)):
+        return NameModel.none(common)
+    if sum(r.rows for r in kinds.values()) <= SMALL:
+        numbers, name, n = _pair_rows(pairs.toArrow().combine_chunks().to_batches()[0])
+        return fit(lambda weights: slopes(numbers, name, n, weights), uses(numbers, n), common)
+
+    def summed(made: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((1 << BITS) + 1, np.int64)
+            for batch in batches:
+                total += made(*_pair_rows(batch))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
+
+        found = pairs.mapInArrow(each, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        total = np.zeros((1 << BITS) + 1, np.int64)
+        total[found.column("at").to_numpy()] = found.column("n").to_numpy()
+        return total
+
+    def slope(weights: np.ndarray) -> np.ndarray:
+        there = spark.sparkContext.broadcast(weights.copy())
+        try:
+            return summed(lambda numbers, name, n: slopes(numbers, name, n, there.value))
+        finally:
+            there.destroy()
+
+    return fit(slope, summed(lambda numbers, name, n: uses(numbers, n)), common)
 
 
 def find_personal(df: DataFrame, id_col: str = "id", fields: dict[str, str] = FIELDS, *, model: NameModel | None = None) -> DataFrame:

@@ -268,6 +268,26 @@ def test_names_that_no_list_has(spark):
     assert {(x.id, x.pii_kind) for x in privacy.find_personal(again, model=model).where("id >= 900").collect()} == {(900, "person_name")}
 
 
+def test_names_are_fitted_on_all_texts(spark, monkeypatch):
+    r = random.Random(4)
+    listed, surnames = sorted(privacy.GIVEN_NAMES), [a + b for a in ("Thorn", "Mar", "Gal", "Fen") for b in ("quist", "lowe", "berg", "wick")]
+    others = [f"line {i} of a log that names nobody" for i in range(9000)]
+    framed = [f"Yesterday {r.choice(listed)} {r.choice(surnames)} fixed export {i}." for i in range(300)]
+    framed += [f"We open {r.choice(['Nestor', 'Cargo', 'Ledger', 'Tally'])} {r.choice(['Reports', 'Exports', 'Settings'])} for export {i}, reports, exports and settings." for i in range(300)]
+    framed += [f"thornquist left in lower case {i}" for i in range(2)]
+    low = spark.createDataFrame([(x,) for x in others], "body string").where(F.xxhash64("body") < 0)
+    high = spark.createDataFrame([(x,) for x in framed], "body string").where("xxhash64(body) > 0 or body like 'thornquist%'")
+    assert low.count() > 4200  # with more texts before them in the order of hashes than any sample had
+    df = low.unionAll(high)
+    model = privacy.fit_names(df)
+    assert privacy.redacted("Yesterday Ngozi Okafor fixed export 7.", model=model) == "Yesterday [PERSON_NAME] fixed export 7."
+    assert privacy.redacted("We open Nestor Ledgers for export 7.", model=model) == "We open Nestor Ledgers for export 7."
+    assert {"settings", "line"} <= model.common and "thornquist" not in model.common  # twice in so many texts isn't common
+    monkeypatch.setattr(privacy, "SMALL", 0)  # in tasks; other parts and repeated texts make no difference
+    again = privacy.fit_names(df.unionAll(high).repartition(7))
+    assert again.common == model.common and (again.weights == model.weights).all()
+
+
 def test_redaction_of_tables(spark):
     rows = [(1, "a@b.org", "Kim", json.dumps(["c@d.org", "ok"])), (1, "a@b.org", "Kim", json.dumps(["c@d.org", "ok"])), (2, None, None, '["broken a@b.org'), (3, "", "[deleted]", "[]")]
     df = spark.createDataFrame(rows, "id long, body string, author_name string, comment_sample_json string").withColumn("field_name", F.lit(1))
